@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import nested
+from strandline.plans import flows, nested, scans
 
-FLAGSHIP = "p5_found"
-MODULES = [nested]
+FLAGSHIP = "pipeline_tripwire"
+MODULES = [scans, flows, nested]
 
 
 def queries() -> dict:
