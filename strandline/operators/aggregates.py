@@ -28,7 +28,7 @@ def moving_rate(rates: DataFrame, stream: list[str], keep: float = 0.9) -> DataF
     ordered = rates.groupBy(*stream).agg(F.sort_array(F.collect_list(F.struct("block", "rate"))).alias("r"))
     tail = F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0)))
     ema = F.aggregate(tail, F.col("r")[0]["rate"], lambda a, x: a * keep + x["rate"] * (1 - keep))
-    return ordered.select(*stream, F.size("r").alias("blocks"), F.round(ema, 6).alias("ema"))
+    return ordered.select(*stream, F.size("r").alias("blocks"), F.round(ema, 3).alias("ema"))
 
 
 def argmax(values: Column, floor: float | None = 0.0) -> Column:
@@ -81,7 +81,7 @@ def log_metrics(lines: DataFrame, patterns: dict[str, str], by: list[str]) -> Da
 def class_rollup(det: DataFrame, by: list[str], cube: bool = False) -> DataFrame:
     """Boxes and mean score over all prefixes (or, with cube, all subsets) of the grouping columns."""
     g = det.cube(*by) if cube else det.rollup(*by)
-    return g.agg(F.count(F.lit(1)).alias("n_boxes"), F.round(F.avg("score"), 6).alias("mean_score"), F.grouping_id().cast("int").alias("level"))
+    return g.agg(F.count(F.lit(1)).alias("n_boxes"), (F.sum(F.round(F.col("score") * 1e6).cast("long")) / F.count("score") / 1e6).alias("mean_score"), F.grouping_id().cast("int").alias("level"))
 
 
 def time_windows(frames: DataFrame, by: list[str], width: str, slide: str | None = None) -> DataFrame:

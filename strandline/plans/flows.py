@@ -333,7 +333,7 @@ s3 as (select bt.* from bt join ok using (task_id, frame_id) where class_id in (
     "fps_window": WITH + _RATE + " select task_id, block, n, rate from rw",
     "fps_ema": "with recursive " + D.SQL + _RATE + """, o as (select *, row_number() over (partition by task_id order by block) as rn from rw),
 go as (select task_id, rn, cast(rate as double) as ema from o where rn = 1 union all select o.task_id, o.rn, go.ema * 0.9 + o.rate * (1 - 0.9) from go join o on o.task_id = go.task_id and o.rn = go.rn + 1)
-select task_id, cast(max(rn) as int) as blocks, round(max_by(ema, rn), 6) as ema from go group by task_id""",
+select task_id, cast(max(rn) as int) as blocks, round(max_by(ema, rn), 3) as ema from go group by task_id""",
     "argmax_label": "select vec_id, case when list_max(embedding) > 0 then cast(list_position(embedding, list_max(embedding)) - 1 as int) else 0 end as label_idx from embeddings",
     "softmax_top1": "with e as (select vec_id, list_transform(cast(embedding[1:10] as double[]), lambda x: exp(x * 4.0)) as v from embeddings) select vec_id, cast(list_position(v, list_max(v)) - 1 as int) as label_idx, round(list_max(v) / list_sum(v), 6) as score from e",
     "multilabel": "with e as (select vec_id, list_transform(cast(embedding[1:4] as double[]), lambda x: exp(x)) as v from embeddings) select vec_id, " + ", ".join(f"cast(v[{i + 1}] / list_sum(v) > {t} as int) as m{i}" for i, t in enumerate([0.2, 0.25, 0.28, 0.3])) + " from e",
@@ -353,7 +353,7 @@ select t.task_id, t.frame_id, t.track_id from t join f on f.task_id = t.task_id
     "box_track_pairs": WITH + "select task_id, frame_id, det_idx, class_id, track_id from det join tr using (task_id, frame_id, det_idx)",
     "frames_without_boxes": WITH + "select task_id, frame_id from fr where not exists (select 1 from det where det.task_id = fr.task_id and det.frame_id = fr.frame_id)",
     "configured_passthrough": WITH + ", m as (select distinct task_id, frame_id from det where class_id = 1), c as (select distinct task_id from fr where channel_id % 2 = 0) select fr.task_id, fr.frame_id, case when m.task_id is not null then 1 else 0 end as tag from fr left join m on m.task_id = fr.task_id and m.frame_id = fr.frame_id left join c on c.task_id = fr.task_id where m.task_id is not null or c.task_id is null or coalesce(eos, false)",
-    "report_rollup": WITH + "select channel_id, class_id, cast(grouping(channel_id, class_id) as int) as level, count(*) as n_boxes, round(avg(score), 6) as mean_score from det group by rollup (channel_id, class_id)",
+    "report_rollup": WITH + "select channel_id, class_id, cast(grouping(channel_id, class_id) as int) as level, count(*) as n_boxes, cast(sum(cast(round(score * 1e6) as bigint)) as double) / nullif(count(score), 0) / 1e6 as mean_score from det group by rollup (channel_id, class_id)",
     "report_cube": WITH + "select graph_id, error_code, cast(grouping(graph_id, error_code) as int) as level, count(*) as n_frames from fr group by cube (graph_id, error_code)",
     "report_windowed": WITH + "select channel_id, time_bucket(interval 10 minutes, ts, timestamp '1970-01-01') as window_start, count(*) as n_frames from fr where ts is not null group by all",
     "report_sliding": WITH + ", w as (select graph_id, unnest([time_bucket(interval 5 minutes, ts, timestamp '1970-01-01'), time_bucket(interval 5 minutes, ts, timestamp '1970-01-01') - interval 5 minutes]) as window_start from fr where ts is not null) select graph_id, window_start, count(*) as n_frames from w group by all",
