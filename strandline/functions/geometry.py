@@ -127,7 +127,7 @@ def dilate_for_pose(x: Column, y: Column, w: Column, h: Column, net_w: int, net_
 def square_crop(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, margin: int = 20) -> list[Column]:
     """left, top, right, bottom of a square around the box's integer centre with a margin, held inside the frame."""
     cx, cy = F.floor((x + x + w) / 2).cast("int"), F.floor((y + y + h) / 2).cast("int")
-    half = F.floor(F.greatest(w, h) / 2).cast("int") + margin
+    half = F.greatest(cx - x, x + w - cx, cy - y, y + h - cy) + margin
     return [F.greatest(cx - half, F.lit(0)), F.greatest(cy - half, F.lit(0)), F.least(cx + half, width), F.least(cy + half, height)]
 
 

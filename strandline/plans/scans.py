@@ -210,7 +210,7 @@ select cfg_row_id, case when has then l else 0 end as roi_x, case when has then
     "letterbox_inverse": WITH + f", g as (select *, least({NET}.0/width, {NET}.0/height) as r from (select task_id, frame_id, det_idx, x, y, cast(width as double) as width, cast(height as double) as height" + _WH + f" where width > 0 and height > 0))\nselect task_id, frame_id, det_idx, round((x % {NET} - trunc(({NET} - trunc(width*r))/2))/r, 4) as sx, round((y % {NET} - trunc(({NET} - trunc(height*r))/2))/r, 4) as sy from g",
     "roi_offset": WITH + _D + ", x + 64 as x, y + 32 as y from det",
     "safe_crop_rect": WITH + _CLIP + _sql_crop("x", "(x+w)", "width", "start_x", "crop_w") + ", " + _sql_crop("y", "(y+h)", "height", "start_y", "crop_h") + _WH,
-    "square_crop": WITH + ", c as (select task_id, frame_id, det_idx, cast(floor((x+x+w)/2.0) as int) as cx, cast(floor((y+y+h)/2.0) as int) as cy, cast(floor(greatest(w,h)/2.0) as int) + 20 as k, width, height" + _WH + ") select task_id, frame_id, det_idx, greatest(cx-k,0) as l, greatest(cy-k,0) as t, least(cx+k, width) as r, least(cy+k, height) as b from c",
+    "square_crop": WITH + ", c as (select task_id, frame_id, det_idx, cast(floor((x+x+w)/2.0) as int) as cx, cast(floor((y+y+h)/2.0) as int) as cy, x, y, w, h, width, height" + _WH + "), e as (select *, greatest(cx-x, x+w-cx, cy-y, y+h-cy) + 20 as k from c) select task_id, frame_id, det_idx, greatest(cx-k,0) as l, greatest(cy-k,0) as t, least(cx+k, width) as r, least(cy+k, height) as b from e",
     "face_expand": WITH + _CLIP + "cast(trunc(x*1.5-(x+w)*0.5) as int) as x1, cast(trunc(y*1.5-(y+h)*0.5) as int) as y1, cast(trunc((x+w)*1.5-x*0.5) as int) as x2, cast(trunc((y+h)*1.5-y*0.5) as int) as y2 from det",
     "pose_box_dilate": _DIL.format(cte=D.SQL),
     "ocr_crop_dims": WITH + """, s as (select task_id, frame_id, det_idx, cast(trunc(sqrt(pow(w,2)+pow(h//4,2))) as int) as a, cast(trunc(sqrt(pow(w,2)+pow(h//4,2))) as int) as a2,
