@@ -86,7 +86,8 @@ def box_score(prob: np.ndarray, corners: np.ndarray) -> float:
     x1, y1 = np.clip(np.ceil(corners.max(0)).astype(int), 0, (w - 1, h - 1))
     gy, gx = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
     inside = np.ones(gx.shape, bool)
-    c = corners if np.cross(corners[1] - corners[0], corners[2] - corners[1]) >= 0 else corners[::-1]
+    u, v = corners[1] - corners[0], corners[2] - corners[1]
+    c = corners if u[0] * v[1] - u[1] * v[0] >= 0 else corners[::-1]
     for a, b in zip(c, np.roll(c, -1, 0)):
         inside &= (b[0] - a[0]) * (gy - a[1]) - (b[1] - a[1]) * (gx - a[0]) >= -1e-6
     return float(prob[y0 : y1 + 1, x0 : x1 + 1][inside].mean()) if inside.any() else 0.0
