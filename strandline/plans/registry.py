@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import flows, nested, scans
+from strandline.plans import flows, models, nested, scans
 
 FLAGSHIP = "pipeline_tripwire"
-MODULES = [scans, flows, nested]
+MODULES = [scans, flows, models, nested]
 
 
 def queries() -> dict:
