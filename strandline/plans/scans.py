@@ -20,7 +20,10 @@ WIRE = [(100, 540), (1800, 560)]
 CLASSES = [0, 1, 2, 5, 9]
 THRESHOLDS = {0: 0.5, 1: 0.25, 2: 0.6, 5: 0.4}
 TIMES = [(6 * 3600000, 9 * 3600000), (18 * 3600000, 20 * 3600000 + 1)]
-BOX = [F.col(c) for c in "xywh"]
+def _box():
+    return [F.col(c) for c in "xywh"]
+
+
 DK = ["task_id", "frame_id", "det_idx"]
 
 
@@ -60,7 +63,7 @@ def source_types(spark, d):
 
 def box_clip(spark, d):
     f = D.frames(spark, d).select("task_id", "frame_id", "width", "height")
-    c = G.clip_box(*BOX, F.col("width"), F.col("height"))
+    c = G.clip_box(*_box(), F.col("width"), F.col("height"))
     return D.detections(spark, d).join(f, ["task_id", "frame_id"]).select(*DK, *[v.alias(n) for v, n in zip(c, ("x1", "y1", "x2", "y2"))])
 
 
@@ -83,7 +86,7 @@ def safe_crop_rect(spark, d):
 
 def square_crop(spark, d):
     f = D.frames(spark, d).select("task_id", "frame_id", "width", "height")
-    c = G.square_crop(*BOX, F.col("width"), F.col("height"))
+    c = G.square_crop(*_box(), F.col("width"), F.col("height"))
     return D.detections(spark, d).join(f, ["task_id", "frame_id"]).select(*DK, *[v.alias(n) for v, n in zip(c, ("l", "t", "r", "b"))])
 
 
@@ -94,13 +97,13 @@ def face_expand(spark, d):
 
 
 def pose_box_dilate(spark, d):
-    c = G.dilate_for_pose(*BOX, 192, 256)
+    c = G.dilate_for_pose(*_box(), 192, 256)
     return D.detections(spark, d).where("w >= 16 and h >= 16").select(*DK, *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cw", "ch"))])
 
 
 def ocr_crop_dims(spark, d):
     """Width and height of the rotated crop of a quadrilateral skewed by its box, and whether it turns upright."""
-    x, y, w, h = BOX
+    x, y, w, h = _box()
     p = [(x, y), (x + w, y + F.floor(h / 4).cast("int")), (x + w, y + h), (x, y + h - F.floor(h / 4).cast("int"))]
     side = lambda a, b: F.sqrt(F.pow((a[0] - b[0]).cast("double"), 2) + F.pow((a[1] - b[1]).cast("double"), 2)).cast("int")
     cw = F.least(F.greatest(side(p[0], p[1]), side(p[2], p[3]), F.lit(16)), F.lit(1920))
