@@ -73,7 +73,7 @@ class ByteBPE:
         prv = np.broadcast_to(cols - 1, (n, width)).copy()
         tree = np.full((n, 2 * width), NONE)
         pair = self.rank(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width - 1)
-        pair = np.where((cols[:-1] + 1 < sizes[:, None]) & (pair < NONE), pair << 24 | cols[:-1], NONE)
+        pair = np.where((cols[:-1] + 1 < sizes[:, None]) & (pair < NONE), pair << 32 | cols[:-1], NONE)
         tree[:, width : 2 * width - 1] = pair
         level = width
         while level > 1:
@@ -84,7 +84,7 @@ class ByteBPE:
         rows = np.flatnonzero(tree[:, 1] < NONE)
         while len(rows):
             best = tree[rows, 1]
-            at, rank = best & 0xFFFFFF, best >> 24
+            at, rank = best & 0xFFFFFFFF, best >> 32
             gone = nxt[rows, at]
             after = nxt[rows, gone]
             sym[rows, at] = self.by_rank[rank]
@@ -96,12 +96,12 @@ class ByteBPE:
             back = before >= 0
             leaf = np.full(len(rows), NONE)
             r = self.rank(sym[rows[has], at[has]], sym[rows[has], after[has]])
-            leaf[has] = np.where(r < NONE, r << 24 | at[has], NONE)
+            leaf[has] = np.where(r < NONE, r << 32 | at[has], NONE)
             tree[rows, width + at] = leaf
             tree[rows, width + gone] = NONE
             rb, bb = rows[back], before[back]
             r = self.rank(sym[rb, bb], sym[rb, at[back]])
-            tree[rb, width + bb] = np.where(r < NONE, r << 24 | bb, NONE)
+            tree[rb, width + bb] = np.where(r < NONE, r << 32 | bb, NONE)
             a, g, b = (width + at) >> 1, (width + gone) >> 1, (width + bb) >> 1
             for _ in range(width.bit_length() - 1):
                 tree[rows, a] = np.minimum(tree[rows, 2 * a], tree[rows, 2 * a + 1])
