@@ -6,16 +6,27 @@ import numpy as np
 
 
 def assign(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Matched pairs, unmatched rows, unmatched columns. A pair is taken only where it beats leaving both alone."""
+    """Matched pairs, unmatched rows, unmatched columns. A pair is taken only where it beats leaving both alone.
+
+    Pairs that cost the limit or more are never taken, so rows and columns with one possible partner each are settled at
+    once and only the rest, few in practice, goes through the matching.
+    """
     n, m = cost.shape
     if not n or not m:
         return [], list(range(n)), list(range(m))
-    size = n + m
-    full = np.full((size, size), limit / 2.0)
-    full[n:, m:] = 0.0
-    full[:n, :m] = cost
-    to = shortest_paths(full)
-    pairs = [(i, int(to[i])) for i in range(n) if to[i] < m]
+    possible = cost < limit
+    sole = possible & (possible.sum(1) == 1)[:, None] & (possible.sum(0) == 1)[None]
+    pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(sole))]
+    rest = possible & ~sole
+    r, c = np.flatnonzero(rest.any(1)), np.flatnonzero(rest.any(0))
+    if len(r):
+        size = len(r) + len(c)
+        full = np.full((size, size), limit / 2.0)
+        full[len(r) :, len(c) :] = 0.0
+        full[: len(r), : len(c)] = cost[np.ix_(r, c)]
+        to = shortest_paths(full)
+        pairs += [(int(r[i]), int(c[to[i]])) for i in range(len(r)) if to[i] < len(c) and rest[r[i], c[to[i]]]]
+    pairs.sort()
     rows, cols = {i for i, _ in pairs}, {j for _, j in pairs}
     return pairs, [i for i in range(n) if i not in rows], [j for j in range(m) if j not in cols]
 

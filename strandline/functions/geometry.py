@@ -9,9 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Point = tuple[Column, Column]
-#: Where the ray of the point-in-polygon test ends: the largest 32-bit integer.
-FAR = 2147483647
-
 
 def orientation(p: Point, q: Point, r: Point) -> Column:
     """Sign of the turn p, q, r: 0 where the three are on a line."""
@@ -31,47 +28,58 @@ def segments_meet(p1: Point, q1: Point, p2: Point, q2: Point) -> Column:
     return crossing | ((o1 == 0) & within(p1, p2, q1)) | ((o2 == 0) & within(p1, q2, q1)) | ((o3 == 0) & within(p2, p1, q2)) | ((o4 == 0) & within(p2, q1, q2))
 
 
-def edges(points: list[tuple[int, int]]) -> Column:
-    """A closed outline as an array of edges (ax, ay, bx, by)."""
-    around = list(zip(points, points[1:] + points[:1]))
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), (*a, *b))]) for a, b in around])
-
+def _side(edge: tuple[int, int, int, int], x: Column, y: Column) -> Column:
+    """Positive, zero or negative by the side of the edge's line on which a point lies; linear in x and y."""
+    ax, ay, bx, by = edge
+    return x.cast("double") * float(ay - by) + y.cast("double") * float(bx - ax) + float(ax * by - bx * ay)
 
-def _ends(e: Column) -> tuple[Point, Point]:
-    return (e["ax"], e["ay"]), (e["bx"], e["by"])
 
+def edge_meets_box(edge: tuple[int, int, int, int], x: Column, y: Column, w: Column, h: Column) -> Column:
+    """The closed edge and the closed box have a point in common: their extents overlap and the edge's line parts the corners."""
+    ax, ay, bx, by = edge
+    near = (x <= max(ax, bx)) & (x + w >= min(ax, bx)) & (y <= max(ay, by)) & (y + h >= min(ay, by))
+    sides = [_side(edge, px, py) for px, py in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    return near & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
-def point_in_outline(p: Point, outline: Column) -> Column:
-    """Inside by the number of edges that a ray to the right meets; a point on an edge counts as inside."""
-    far = (F.lit(FAR), p[1])
-    met = lambda e: segments_meet(*_ends(e), p, far)
-    on = lambda e: met(e) & (orientation(_ends(e)[0], p, _ends(e)[1]) == 0)
-    on_edge = F.exists(outline, lambda e: on(e) & within(_ends(e)[0], p, _ends(e)[1]))
-    return F.when(F.exists(outline, on), on_edge).otherwise(F.size(F.filter(outline, met)) % 2 == 1)
 
+def point_in_outline(x: Column, y: Column, area: list[tuple[int, int]]) -> Column:
+    """Inside by the number of edges that a ray to the right meets, ends of edges included.
 
-def box_edges(x: Column, y: Column, w: Column, h: Column) -> Column:
-    corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
-    return F.array(*[F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")) for a, b in zip(corners, corners[1:] + corners[:1])])
+    A ray along a horizontal edge ahead counts as outside, and one through a vertex counts both its edges, as the
+    original test has it.
+    """
+    met, level = F.lit(0), F.lit(False)
+    for edge in zip(area, area[1:] + area[:1]):
+        (ax, ay), (bx, by) = edge
+        if ay == by:
+            level = level | ((y == ay) & (x <= max(ax, bx)))
+        else:
+            up = 1.0 if by > ay else -1.0
+            met = met + (y.between(min(ay, by), max(ay, by)) & (_side((ax, ay, bx, by), x, y) * up >= 0)).cast("int")
+    return ~level & (met % 2 == 1)
 
 
 def box_in_area(x: Column, y: Column, w: Column, h: Column, area: list[tuple[int, int]]) -> Column:
-    """The area rule of one polygon.
+    """The area rule of one polygon, as plain comparisons with its constants (generated code, and bounds that reach the scan).
 
-    No points: true. One or two points (a tripwire): an end lies in the box or the line meets one of its edges. Three or
-    more: all corners inside and no edge of the box meets the outline.
+    No points: true. One or two points (a tripwire): an end lies in the box or the line meets one of its sides. Three or
+    more: all corners inside and no side of the box meets the outline.
     """
     if not area:
         return F.lit(True)
-    box, outline = box_edges(x, y, w, h), edges(area)
-    touches = F.exists(box, lambda b: F.exists(outline, lambda e: segments_meet(*_ends(b), *_ends(e))))
+    around = [(*a, *b) for a, b in zip(area, area[1:] + area[:1])]
     if len(area) < 3:
-        inside = F.lit(False)
-        for px, py in area:
-            inside = inside | (F.lit(px).between(x, x + w) & F.lit(py).between(y, y + h))
-        return inside | touches
-    corners = F.forall(box, lambda b: point_in_outline((b["ax"], b["ay"]), outline))
-    return corners & ~touches
+        hit = F.lit(False)
+        for edge in around[:1]:
+            hit = hit | edge_meets_box(edge, x, y, w, h)
+        return hit
+    xs, ys = [p[0] for p in area], [p[1] for p in area]
+    inside = (x > min(xs)) & (y > min(ys)) & (x + w < max(xs)) & (y + h < max(ys))
+    for px, py in ((x, y), (x + w, y), (x + w, y + h), (x, y + h)):
+        inside = inside & point_in_outline(px, py, area)
+    for edge in around:
+        inside = inside & ~edge_meets_box(edge, x, y, w, h)
+    return inside
 
 
 def iou(a: tuple[Column, ...], b: tuple[Column, ...], plus: int = 0) -> Column:
