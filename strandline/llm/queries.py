@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import credentials, frequency, leakage, runs, shared_spans, tokenize, topn
-from strandline.sources.tables import table
+from strandline.sources.tables import spread, table
 
 BOXES_PER_CLASS = 5
 MAX_FRAME_GAP = 30
@@ -68,20 +68,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_terms(spark, d).where("mark is not null").select("field_name", "term", "mark")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode_corpus(table(spark, d, "documents"))
+    return tokenize.encode_corpus(_documents(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_words=LEAK_WORDS)
+    return leakage.find_leaks(_documents(spark, d), table(spark, d, "eval_items"), min_words=LEAK_WORDS)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_spans(table(spark, d, "documents"), length=SPAN_CHARS)
+    return shared_spans.shared_spans(_documents(spark, d), length=SPAN_CHARS)
 
 
 def p8_amounts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     return shared_spans.shared_amounts(shared_spans.shared_spans(docs, length=SPAN_CHARS), docs)
 
 
