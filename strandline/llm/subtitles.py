@@ -16,13 +16,19 @@ _CONT = "".join(sorted({bytes([b]).decode("cp1252", "ignore") for b in range(0x8
 _CONT = re.escape(_CONT)
 #: UTF-8 bytes shown as single characters: a lead byte and the right number of continuation bytes.
 _WRONG = re.compile(f"[\xc2-\xdf][{_CONT}]|[\xe0-\xef][{_CONT}]{{2}}|[\xf0-\xf4][{_CONT}]{{3}}")
-_LOST = re.compile("[\xc2-\xc5]\ufffd")
+_LOST = re.compile("[\xc2-\xc5\ufffd]\ufffd")
 _BYTE = {bytes([b]).decode("cp1252", "ignore"): b for b in range(0x80, 0x100)} | {chr(b): b for b in range(0x80, 0x100)}
 _BYTE.pop("", None)
+#: The same bytes shown as Cyrillic. Its small and capital yo stand in real words too, so they need a Latin letter beside.
+_BYTE_1251 = {bytes([b]).decode("cp1251", "ignore"): b for b in range(0x80, 0x100)} | {"\x98": 0x98}
+_BYTE_1251.pop("", None)
+_CONT_1251 = re.escape("".join(c for c, b in _BYTE_1251.items() if b < 0xC0 and c not in "ёЁ"))
+_WRONG_1251 = re.compile(f"[В-Я][{_CONT_1251}]|[а-п][{_CONT_1251}]{{2}}|(?<=[a-zA-Z])Г[ёЁ]|Г[ёЁ](?=[a-zA-Z])")
 
 _TIMED = re.compile(r"(?m)(?:^[ \t\ufeff]*[0-9lIOoSBZiz|gqDQ#]{1,7}[ \t]*\r?\n)?^[^\n]*-->[^\n]*$")
 _HEADER = re.compile(r"^\ufeff?\s*WE[B8]VTT[^\n]*")
-_ASS = re.compile(r"(?m)^\ufeff?[^,\n]{4,16}:[^,\n]{0,4},[^,\n]{5,16},[^,\n]{5,16},(?:[^,\n]*,){6}")
+#: The fields before a line's text; their commas may be misread as stops or quotes.
+_ASS = re.compile(r"(?m)^\ufeff?[^\s:]{5,12}:[^\n]{20,60}?[,.'’]+[0oOQ][,.'’]+[0oOQ][,.'’]+[0oOQ][,.'’]{1,2}")
 _SOUND = re.compile(r"\[[^\[\]]{0,120}\]|\([^()]{0,120}\)|♪[^♪\n]{0,120}♪|🎵[^🎵\n]{0,120}🎵|(?m:^[\s-]*\*[^*\n]{1,80}\*[ \t\r]*$)|\*[a-zA-Z][^*\n]{1,60}\*|(?m:^[\s-]*[?#][ \t][^?#\n]{0,60}[?#][ \t\r]*$)")
 _BRACES = re.compile(r"\{[^{}\n]{0,80}\}")
 _TAG = re.compile(r"<[^<>\n]{0,120}>")
@@ -32,16 +38,23 @@ _NUMBER_LINE = re.compile(r"(?m)^[\W\d_]+$")
 _NOT_WORD = re.compile(r"[^\w+#\ufffd]|_")
 
 
-def repair(text: str) -> str:
-    """Undoes UTF-8 read as a one-byte encoding, also where it happened more than once."""
+def _from(table: dict[str, int]):
     def put_right(m: re.Match) -> str:
         try:
-            return bytes(_BYTE[c] for c in m[0]).decode()
+            return bytes(table[c] for c in m[0]).decode()
         except UnicodeDecodeError:
             return m[0]
 
+    return put_right
+
+
+_from_1252, _from_1251 = _from(_BYTE), _from(_BYTE_1251)
+
+
+def repair(text: str) -> str:
+    """Undoes UTF-8 read as a one-byte encoding, also where it happened more than once."""
     for _ in range(3):
-        fixed = _WRONG.sub(put_right, text)
+        fixed = _WRONG_1251.sub(_from_1251, _WRONG.sub(_from_1252, text))
         if fixed == text:
             break
         text = fixed
@@ -60,7 +73,7 @@ def spoken_words(text: str | None) -> list[str]:
     text = _HEADER.sub("", text)
     if "-->" in text:
         text = _TIMED.sub("\n", text)
-    if ",," in text:
+    if "0,0" in text:  # some line of such a file has it whole
         text = _ASS.sub("", text)
     if "{" in text:
         text = _BRACES.sub("", text)
@@ -86,6 +99,8 @@ MISREAD = {
     "l": ["i", "1", "7"], "m": ["rn", "nn"], "n": ["u", "ri", "ii"], "o": ["0", "c", "q"], "q": ["g", "9"], "r": ["n", "i"], "s": ["5", "z", "8"], "t": ["f", "+", "7"], "u": ["n", "ii", "v"],
     "v": ["y", "u"], "w": ["vv", "uu"], "y": ["v"], "z": ["s", "2"],
 }
+#: A letter may be misread twice (r as n, n as u).
+_TWICE = {c: {*forms, *(g for f in forms for g in MISREAD.get(f, ()))} for c, forms in MISREAD.items()}
 _ACCENTS = {}
 for _c in map(chr, range(0xC0, 0x250)):
     _b = unicodedata.normalize("NFD", _c.lower())[0]
@@ -115,7 +130,7 @@ def spoilt_forms(word: str) -> re.Pattern:
     out = []
     for c in word:
         base = unicodedata.normalize("NFD", c)[0] if c > "\x7f" else c
-        ways = {c, base, "#", "\ufffd", *MISREAD.get(base, ()), *_ACCENTS.get(base, ())}
+        ways = {c, base, "#", "\ufffd", *_TWICE.get(base, ()), *_ACCENTS.get(base, ())}
         if c in "øßæœ":
             ways |= {"o", "ss", "ae", "oe", "0", "b", "8"}
         piece = "|".join(map(re.escape, sorted(ways, key=len, reverse=True)))
