@@ -121,7 +121,7 @@ def class_threshold(det: DataFrame, thresholds: dict[int, float] | float) -> Dat
         return det.where(F.col("score") > float(thresholds))
     least = min(thresholds.values())
     limit = F.create_map(*[F.lit(v) for kv in thresholds.items() for v in (int(kv[0]), float(kv[1]))])
-    return det.where(F.col("score") > least).where(F.col("score") > F.try_element_at(limit, F.col("class_id")))
+    return det.where(F.col("class_id").isin([int(k) for k in thresholds]) & (F.col("score") > least)).where(F.col("score") > F.try_element_at(limit, F.col("class_id")))
 
 
 def keeps_element(skip: Column, element: int) -> Column:

@@ -24,7 +24,7 @@ SECONDS = 1.5
 
 
 def _routed(spark, d):
-    return T.route(D.frames(spark, d), D.detections(spark, d), D.class_names(spark, d), ROUTES, FRAME, STREAM)
+    return T.route(D.frames(spark, d, "eos"), D.detections(spark, d, "class_id"), D.class_names(spark, d), ROUTES, FRAME, STREAM)
 
 
 def route_class(spark, d):
@@ -33,29 +33,29 @@ def route_class(spark, d):
 
 
 def route_full_frame(spark, d):
-    return T.fires_by_frame(D.frames(spark, d), 3).select(*FRAME, F.lit(-1).alias("sub_id"), F.lit(4).alias("port"))
+    return T.fires_by_frame(D.frames(spark, d, "eos"), 3).select(*FRAME, F.lit(-1).alias("sub_id"), F.lit(4).alias("port"))
 
 
 def route_time_interval(spark, d):
-    return T.throttle(D.frames(spark, d), STREAM, SECONDS)
+    return T.throttle(D.frames(spark, d, "ts"), STREAM, SECONDS)
 
 
 def branch_totals(spark, d):
-    return T.branch_counts(D.frames(spark, d), _routed(spark, d), FRAME).select(*FRAME, "branches")
+    return T.branch_counts(D.frames(spark, d, "eos"), _routed(spark, d), FRAME).select(*FRAME, "branches")
 
 
 def converge(spark, d):
     """Branch results come back but for those of port 2 on frames divisible by 7; incomplete frames are left out."""
     routed = _routed(spark, d)
     back = routed.where("not (port = 2 and frame_id % 7 = 0)")
-    return T.converge(T.branch_counts(D.frames(spark, d), routed, FRAME), back, FRAME, STREAM, strict=False).select(*FRAME, "branches")
+    return T.converge(T.branch_counts(D.frames(spark, d, "eos"), routed, FRAME), back, FRAME, STREAM, strict=False).select(*FRAME, "branches")
 
 
 def converge_strict(spark, d):
     """As `converge`, but nothing overtakes an incomplete frame of its stream."""
     routed = _routed(spark, d)
     back = routed.where("not (port = 2 and frame_id % 7 = 0)")
-    return T.converge(T.branch_counts(D.frames(spark, d), routed, FRAME), back, FRAME, STREAM).select(*FRAME, "branches")
+    return T.converge(T.branch_counts(D.frames(spark, d, "eos"), routed, FRAME), back, FRAME, STREAM).select(*FRAME, "branches")
 
 
 def converge_nested(spark, d):
@@ -67,19 +67,19 @@ def converge_nested(spark, d):
 
 
 def zip_stitch(spark, d):
-    f = D.frames(spark, d)
+    f = D.frames(spark, d, "width", "height")
     left, right = f.where("frame_id % 2 = 0"), f.where("frame_id % 4 = 0")
     return T.zip_ports(left.select(*FRAME, "width", "height"), right.select(*FRAME, "width", "height"), STREAM, "frame_id", "frame_id").select(*FRAME, (F.col("width") + F.col("right_width")).alias("width"), F.greatest("height", "right_height").alias("height"))
 
 
 def zip_blend(spark, d):
-    f = D.frames(spark, d).select(*FRAME, "width", "height")
+    f = D.frames(spark, d, "width", "height").select(*FRAME, "width", "height")
     z = T.zip_ports(f.where("frame_id % 2 = 0"), f.where("frame_id % 2 = 1"), STREAM, "frame_id")
     return z.select(*FRAME, "right_frame_id", (F.ceil((F.col("width") + F.col("right_width") - 101) / 32) * 32).cast("long").alias("out_w"))
 
 
 def zip_stereo(spark, d):
-    f = D.frames(spark, d).select(*FRAME, "width", "error_code")
+    f = D.frames(spark, d, "width", "error_code").select(*FRAME, "width", "error_code")
     return T.zip_on_frame(f, f.where("error_code = 0"), FRAME).select(*FRAME, "right_width")
 
 
@@ -100,51 +100,51 @@ def knn_top1(spark, d):
 
 def iou_join(spark, d):
     """Pairs of a frame's boxes that overlap by more than half, under the +1 pixel convention."""
-    a = D.detections(spark, d).select(*FRAME, *[F.col(c).alias(f"a_{c}") for c in ("det_idx", "x", "y", "w", "h")])
-    b = D.detections(spark, d).select(*FRAME, *[F.col(c).alias(f"b_{c}") for c in ("det_idx", "x", "y", "w", "h")])
+    a = D.detections(spark, d, "x", "y", "w", "h").select(*FRAME, *[F.col(c).alias(f"a_{c}") for c in ("det_idx", "x", "y", "w", "h")])
+    b = D.detections(spark, d, "x", "y", "w", "h").select(*FRAME, *[F.col(c).alias(f"b_{c}") for c in ("det_idx", "x", "y", "w", "h")])
     v = iou(tuple(F.col(f"a_{c}") for c in "xywh"), tuple(F.col(f"b_{c}") for c in "xywh"), 1)
     return a.join(b, FRAME).where("a_det_idx < b_det_idx").withColumn("iou", F.round(v, 6)).where("iou > 0.5").select(*FRAME, "a_det_idx", "b_det_idx", "iou")
 
 
 def nms_agnostic(spark, d):
-    return suppress(D.detections(spark, d), FRAME, 0.3).select(*DK, "class_id", "score")
+    return suppress(D.detections(spark, d, "class_id", "score", "x", "y", "w", "h"), FRAME, 0.3).select(*DK, "class_id", "score")
 
 
 def nms_class_aware(spark, d):
-    return suppress(D.detections(spark, d), FRAME, 0.3, class_aware=True).select(*DK, "class_id", "score")
+    return suppress(D.detections(spark, d, "class_id", "score", "x", "y", "w", "h"), FRAME, 0.3, class_aware=True).select(*DK, "class_id", "score")
 
 
 def nms_face(spark, d):
-    return suppress(D.detections(spark, d), FRAME, 0.3, plus=1).select(*DK, "class_id", "score")
+    return suppress(D.detections(spark, d, "class_id", "score", "x", "y", "w", "h"), FRAME, 0.3, plus=1).select(*DK, "class_id", "score")
 
 
 def rule_direction(spark, d):
-    rows = D.detections(spark, d).join(D.tracks(spark, d).where("track_id >= 0"), DK)
+    rows = D.detections(spark, d, "x", "y", "w", "h").join(D.tracks(spark, d).where("track_id >= 0"), DK)
     return R.moves_along(rows, STREAM, (1.0, 0.5), 2)
 
 
 def rule_alert_gating(spark, d):
-    rows = D.detections(spark, d).join(D.tracks(spark, d).where("track_id >= 0"), DK)
+    rows = D.detections(spark, d, "class_id").join(D.tracks(spark, d).where("track_id >= 0"), DK)
     return R.gate_alerts(rows, STREAM, "track_id", rows, 2, 5).select(*DK, "track_id", F.col("run").cast("long").alias("run"))
 
 
 def rule_bitmask(spark, d):
     times = [(0, 12 * 3600000)]
-    rows = D.detections(spark, d).join(D.tracks(spark, d), DK, "left").withColumn("track_id", F.coalesce("track_id", F.lit(-1)))
+    rows = D.detections(spark, d, "class_id", "x", "y", "w", "h").join(D.tracks(spark, d), DK, "left").withColumn("track_id", F.coalesce("track_id", F.lit(-1)))
     rules = [R.Rule(kind=2, classes=CLASSES, areas=[AREA], times=times), R.Rule(kind=2, classes=[0, 1, 2, 3], areas=[WIRE], times=times), R.Rule(kind=1, classes=list(range(20)), areas=[[]], times=times, alert_first=1, alert_skip=3)]
-    return R.rule_mask(D.frames(spark, d), rows, rules, STREAM).select(*FRAME, "tag")
+    return R.rule_mask(D.frames(spark, d, "ts"), rows, rules, STREAM).select(*FRAME, "tag")
 
 
 def fps_totals(spark, d):
-    return A.frame_totals(D.frames(spark, d), ["task_id"]).select("task_id", "n_frames", "seconds", "fps")
+    return A.frame_totals(D.frames(spark, d, "ts"), ["task_id"]).select("task_id", "n_frames", "seconds", "fps")
 
 
 def fps_window(spark, d):
-    return A.windowed_rates(D.frames(spark, d), STREAM, 50)
+    return A.windowed_rates(D.frames(spark, d, "ts"), STREAM, 50)
 
 
 def fps_ema(spark, d):
-    return A.moving_rate(A.windowed_rates(D.frames(spark, d), STREAM, 50), STREAM)
+    return A.moving_rate(A.windowed_rates(D.frames(spark, d, "ts"), STREAM, 50), STREAM)
 
 
 def argmax_label(spark, d):
@@ -163,7 +163,7 @@ def multilabel(spark, d):
 
 def keypoint_bbox(spark, d):
     pts = F.collect_list(F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.coalesce("score", F.lit(0.0)).alias("score")))
-    g = D.detections(spark, d).groupBy(*FRAME).agg(A.keypoint_box(pts, 0.1).alias("b"))
+    g = D.detections(spark, d, "x", "y", "score").groupBy(*FRAME).agg(A.keypoint_box(pts, 0.1).alias("b"))
     return g.where("b is not null").select(*FRAME, "b.left", "b.top", "b.right", "b.bottom")
 
 
@@ -172,17 +172,17 @@ def shoelace_area(spark, d):
 
     x, y, w, h = (F.col(c) for c in "xywh")
     pts = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + w, y + 3), (x + w, y + h), (x + 5, y + h))])
-    return D.detections(spark, d).select(*DK, shoelace(pts).alias("area"), F.round(perimeter(pts), 6).alias("round"))
+    return D.detections(spark, d, "x", "y", "w", "h").select(*DK, shoelace(pts).alias("area"), F.round(perimeter(pts), 6).alias("round"))
 
 
 def count_window_label(spark, d):
-    rows = D.frames(spark, d).join(D.detections(spark, d).groupBy(*FRAME).agg(F.max("class_id").alias("label")), FRAME, "left").select(*FRAME, "label")
+    rows = D.frames(spark, d, "ts").join(D.detections(spark, d, "class_id").groupBy(*FRAME).agg(F.max("class_id").alias("label")), FRAME, "left").select(*FRAME, "label")
     return W.label_windows(W.count_windows(rows, STREAM, "frame_id", 48), STREAM, "label").select(*FRAME, "window_id", "window_label")
 
 
 def overlay_carry_forward(spark, d):
-    n = D.detections(spark, d).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"))
-    rows = S.sample_frames(D.frames(spark, d), 3, S.KEEP).join(n, FRAME, "left").select(*FRAME, "filtered", "n")
+    n = D.detections(spark, d, "class_id").groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"))
+    rows = S.sample_frames(D.frames(spark, d, "eos"), 3, S.KEEP).join(n, FRAME, "left").select(*FRAME, "filtered", "n")
     return W.carry_forward(rows, STREAM, "n").select(*FRAME, "shown")
 
 
@@ -191,52 +191,52 @@ def track_set_diff(spark, d):
 
 
 def union_ports(spark, d):
-    f = D.frames(spark, d).select(*FRAME)
+    f = D.frames(spark, d, "eos").select(*FRAME)
     return T.port_union(f.where("frame_id % 2 = 0").withColumn("src", F.lit("a")), f.where("frame_id % 3 = 0").withColumn("src", F.lit("b")))
 
 
 def sub_result_join(spark, d):
     cn = D.class_names(spark, d)
-    results = T.sub_ids(D.detections(spark, d), FRAME).select(*FRAME, "sub_id", (F.col("score") * 10).cast("int").alias("label_id"))
-    det = T.sub_ids(D.detections(spark, d), FRAME).drop("det_idx").withColumnRenamed("sub_id", "det_idx").select(*FRAME, "det_idx", "class_id")
+    results = T.sub_ids(D.detections(spark, d, "class_id", "score"), FRAME).select(*FRAME, "sub_id", (F.col("score") * 10).cast("int").alias("label_id"))
+    det = T.sub_ids(D.detections(spark, d, "class_id", "score"), FRAME).drop("det_idx").withColumnRenamed("sub_id", "det_idx").select(*FRAME, "det_idx", "class_id")
     return T.sub_result_join(results, det, FRAME, 2, cn.where("class_id < 6"), cn).select(*FRAME, "sub_id", "label")
 
 
 def box_track_pairs(spark, d):
     """Detections beside their tracks, by position."""
-    return D.detections(spark, d).join(D.tracks(spark, d), DK).select(*DK, "class_id", "track_id")
+    return D.detections(spark, d, "class_id").join(D.tracks(spark, d), DK).select(*DK, "class_id", "track_id")
 
 
 def frames_without_boxes(spark, d):
-    return D.frames(spark, d).join(D.detections(spark, d), FRAME, "left_anti").select(*FRAME)
+    return D.frames(spark, d, "eos").join(D.detections(spark, d, "class_id"), FRAME, "left_anti").select(*FRAME)
 
 
 def configured_passthrough(spark, d):
-    f = D.frames(spark, d)
-    mask = D.detections(spark, d).where("class_id = 1").select(*FRAME).distinct().withColumn("tag", F.lit(1))
+    f = D.frames(spark, d, "channel_id", "eos")
+    mask = D.detections(spark, d, "class_id").where("class_id = 1").select(*FRAME).distinct().withColumn("tag", F.lit(1))
     return R.pass_frames(f, mask, f.where("channel_id % 2 = 0"), STREAM).select(*FRAME, "tag")
 
 
 def report_rollup(spark, d):
-    return A.class_rollup(D.detections(spark, d), ["channel_id", "class_id"]).select("channel_id", "class_id", "level", "n_boxes", "mean_score")
+    return A.class_rollup(D.detections(spark, d, "channel_id", "class_id", "score"), ["channel_id", "class_id"]).select("channel_id", "class_id", "level", "n_boxes", "mean_score")
 
 
 def report_cube(spark, d):
-    f = D.frames(spark, d)
+    f = D.frames(spark, d, "graph_id", "error_code")
     g = f.cube("graph_id", "error_code").agg(F.count(F.lit(1)).alias("n_frames"), F.grouping_id().cast("int").alias("level"))
     return g.select("graph_id", "error_code", "level", "n_frames")
 
 
 def report_windowed(spark, d):
-    return A.time_windows(D.frames(spark, d), ["channel_id"], "10 minutes")
+    return A.time_windows(D.frames(spark, d, "channel_id", "ts"), ["channel_id"], "10 minutes")
 
 
 def report_sliding(spark, d):
-    return A.time_windows(D.frames(spark, d), ["graph_id"], "10 minutes", "5 minutes")
+    return A.time_windows(D.frames(spark, d, "graph_id", "ts"), ["graph_id"], "10 minutes", "5 minutes")
 
 
 def report_sessions(spark, d):
-    return A.sessions(D.frames(spark, d), ["task_id"], "5 seconds")
+    return A.sessions(D.frames(spark, d, "ts"), ["task_id"], "5 seconds")
 
 
 def events_funnel(spark, d):
@@ -246,8 +246,8 @@ def events_funnel(spark, d):
 
 def pipeline_tripwire(spark, d):
     """Sampling, tripwire and class rule, re-join to the frames, alarms with their boxes."""
-    frames = S.sample_frames(D.frames(spark, d), 2)
-    hits = R.in_areas(R.in_classes(D.detections(spark, d), CLASSES), [WIRE])
+    frames = S.sample_frames(D.frames(spark, d, "ts", "eos"), 2)
+    hits = R.in_areas(R.in_classes(D.detections(spark, d, "class_id", "score", "x", "y", "w", "h"), CLASSES), [WIRE])
     return hits.join(frames.select(*FRAME, "ts"), FRAME).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n_boxes"), F.max("score").alias("best"))
 
 

@@ -66,7 +66,7 @@ def nms_rotated(spark, d):
 def _decoded(spark, d, name: str, run) -> DataFrame:
     """Each frame's boxes as a detector's decoded matrix (centre, size, objectness, 8 class scores), through a decoder and back to rows."""
     cols = ["x", "y", "w", "h", "score", "class_id"]
-    rows = D.detections(spark, d).where("score is not null and class_id >= 0 and w > 0 and h > 0")
+    rows = D.detections(spark, d, "x", "y", "w", "h", "score", "class_id").where("score is not null and class_id >= 0 and w > 0 and h > 0")
     packed = rows.groupBy(*FRAME).agg(*[F.transform(F.sort_array(F.collect_list(F.struct("det_idx", F.col(c).cast("double").alias("v")))), lambda s: s["v"]).alias(c) for c in cols])
 
     def decode_batches(batches):

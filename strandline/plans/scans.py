@@ -28,15 +28,15 @@ DK = ["task_id", "frame_id", "det_idx"]
 
 
 def scan_frames(spark, d):
-    return S.number_frames(D.frames(spark, d).where("ts is not null"), ["task_id"], ["ts", "frame_id"]).select("task_id", "frame_id", "frame_no")
+    return S.number_frames(D.frames(spark, d, "ts").where("ts is not null"), ["task_id"], ["ts", "frame_id"]).select("task_id", "frame_id", "frame_no")
 
 
 def sample_drop(spark, d):
-    return S.sample_frames(D.frames(spark, d), 5).select("task_id", "frame_id")
+    return S.sample_frames(D.frames(spark, d, "eos"), 5).select("task_id", "frame_id")
 
 
 def sample_keep(spark, d):
-    return S.sample_frames(D.frames(spark, d), 4, S.KEEP).select("task_id", "frame_id", "filtered")
+    return S.sample_frames(D.frames(spark, d, "eos"), 4, S.KEEP).select("task_id", "frame_id", "filtered")
 
 
 def loop_replay(spark, d):
@@ -54,7 +54,7 @@ def roi_scan(spark, d):
 
 
 def eos_streams(spark, d):
-    return D.frames(spark, d).groupBy("task_id").agg(F.max(F.coalesce("eos", F.lit(False)).cast("int")).alias("ended"), F.max("frame_id").alias("last_frame"))
+    return D.frames(spark, d, "eos").groupBy("task_id").agg(F.max(F.coalesce("eos", F.lit(False)).cast("int")).alias("ended"), F.max("frame_id").alias("last_frame"))
 
 
 def source_types(spark, d):
@@ -62,43 +62,43 @@ def source_types(spark, d):
 
 
 def box_clip(spark, d):
-    f = D.frames(spark, d).select("task_id", "frame_id", "width", "height")
+    f = D.frames(spark, d, "width", "height")
     c = G.clip_box(*_box(), F.col("width"), F.col("height"))
-    return D.detections(spark, d).join(f, ["task_id", "frame_id"]).select(*DK, *[v.alias(n) for v, n in zip(c, ("x1", "y1", "x2", "y2"))])
+    return D.detections(spark, d, "x", "y", "w", "h").join(f, ["task_id", "frame_id"]).select(*DK, *[v.alias(n) for v, n in zip(c, ("x1", "y1", "x2", "y2"))])
 
 
 def letterbox_inverse(spark, d):
-    f = D.frames(spark, d).where("width > 0 and height > 0").select("task_id", "frame_id", "width", "height")
+    f = D.frames(spark, d, "width", "height").where("width > 0 and height > 0")
     ratio, tx, ty = G.letterbox(F.col("width"), F.col("height"), NET, NET)
-    return D.detections(spark, d).join(f, ["task_id", "frame_id"]).select(*DK, F.round((F.col("x") % NET - tx) / ratio, 4).alias("sx"), F.round((F.col("y") % NET - ty) / ratio, 4).alias("sy"))
+    return D.detections(spark, d, "x", "y").join(f, ["task_id", "frame_id"]).select(*DK, F.round((F.col("x") % NET - tx) / ratio, 4).alias("sx"), F.round((F.col("y") % NET - ty) / ratio, 4).alias("sy"))
 
 
 def roi_offset(spark, d):
     left, top = 64, 32
-    return D.detections(spark, d).select(*DK, (F.col("x") + left).alias("x"), (F.col("y") + top).alias("y"))
+    return D.detections(spark, d, "x", "y").select(*DK, (F.col("x") + left).alias("x"), (F.col("y") + top).alias("y"))
 
 
 def safe_crop_rect(spark, d):
-    f = D.frames(spark, d).select("task_id", "frame_id", "width", "height")
+    f = D.frames(spark, d, "width", "height")
     c = G.safe_crop(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"), F.col("width"), F.col("height"))
-    return D.detections(spark, d).join(f, ["task_id", "frame_id"]).select(*DK, *[v.alias(n) for v, n in zip(c, ("start_x", "start_y", "crop_w", "crop_h"))])
+    return D.detections(spark, d, "x", "y", "w", "h").join(f, ["task_id", "frame_id"]).select(*DK, *[v.alias(n) for v, n in zip(c, ("start_x", "start_y", "crop_w", "crop_h"))])
 
 
 def square_crop(spark, d):
-    f = D.frames(spark, d).select("task_id", "frame_id", "width", "height")
+    f = D.frames(spark, d, "width", "height")
     c = G.square_crop(*_box(), F.col("width"), F.col("height"))
-    return D.detections(spark, d).join(f, ["task_id", "frame_id"]).select(*DK, *[v.alias(n) for v, n in zip(c, ("l", "t", "r", "b"))])
+    return D.detections(spark, d, "x", "y", "w", "h").join(f, ["task_id", "frame_id"]).select(*DK, *[v.alias(n) for v, n in zip(c, ("l", "t", "r", "b"))])
 
 
 def face_expand(spark, d):
     x2, y2 = F.col("x") + F.col("w"), F.col("y") + F.col("h")
     grow = lambda a, b: (a * 1.5 - b * 0.5).cast("int")
-    return D.detections(spark, d).select(*DK, grow(F.col("x"), x2).alias("x1"), grow(F.col("y"), y2).alias("y1"), grow(x2, F.col("x")).alias("x2"), grow(y2, F.col("y")).alias("y2"))
+    return D.detections(spark, d, "x", "y", "w", "h").select(*DK, grow(F.col("x"), x2).alias("x1"), grow(F.col("y"), y2).alias("y1"), grow(x2, F.col("x")).alias("x2"), grow(y2, F.col("y")).alias("y2"))
 
 
 def pose_box_dilate(spark, d):
     c = G.dilate_for_pose(*_box(), 192, 256)
-    return D.detections(spark, d).where("w >= 16 and h >= 16").select(*DK, *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cw", "ch"))])
+    return D.detections(spark, d, "x", "y", "w", "h").where("w >= 16 and h >= 16").select(*DK, *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cw", "ch"))])
 
 
 def ocr_crop_dims(spark, d):
@@ -108,40 +108,40 @@ def ocr_crop_dims(spark, d):
     side = lambda a, b: F.sqrt(F.pow((a[0] - b[0]).cast("double"), 2) + F.pow((a[1] - b[1]).cast("double"), 2)).cast("int")
     cw = F.least(F.greatest(side(p[0], p[1]), side(p[2], p[3]), F.lit(16)), F.lit(1920))
     ch = F.least(F.greatest(side(p[0], p[3]), side(p[1], p[2]), F.lit(16)), F.lit(1080))
-    return D.detections(spark, d).select(*DK, cw.alias("crop_w"), ch.alias("crop_h"), (ch / cw >= 1.5).alias("turn"))
+    return D.detections(spark, d, "x", "y", "w", "h").select(*DK, cw.alias("crop_w"), ch.alias("crop_h"), (ch / cw >= 1.5).alias("turn"))
 
 
 def label_text(spark, d):
-    rows = D.detections(spark, d).where("score is not null").join(D.class_names(spark, d), "class_id")
+    rows = D.detections(spark, d, "class_id", "score", "y").where("score is not null").join(D.class_names(spark, d), "class_id")
     return rows.select(*DK, F.format_string("%s:%.2f", "class_name", F.round("score", 2)).alias("text"), F.when(F.col("y") < 20, F.col("y") + 20).otherwise(F.col("y")).alias("text_y"), (F.col("class_id") % 21).alias("colour"))
 
 
 def label_lookup(spark, d):
-    return D.detections(spark, d).join(D.class_names(spark, d), "class_id", "left").select(*DK, "class_name")
+    return D.detections(spark, d, "class_id").join(D.class_names(spark, d), "class_id", "left").select(*DK, "class_name")
 
 
 def class_threshold(spark, d):
-    return R.class_threshold(D.detections(spark, d), THRESHOLDS).select(*DK, "class_id", "score")
+    return R.class_threshold(D.detections(spark, d, "class_id", "score"), THRESHOLDS).select(*DK, "class_id", "score")
 
 
 def size_gates(spark, d):
-    return D.detections(spark, d).where((F.col("w") >= 16) & (F.col("h") >= 16) & (F.col("w").cast("long") * F.col("h") > 100) & (F.col("w") < 400)).select(*DK)
+    return D.detections(spark, d, "w", "h").where((F.col("w") >= 16) & (F.col("h") >= 16) & (F.col("w").cast("long") * F.col("h") > 100) & (F.col("w") < 400)).select(*DK)
 
 
 def rule_time_of_day(spark, d):
-    return D.frames(spark, d).where(R.in_times(F.col("ts"), TIMES)).select("task_id", "frame_id")
+    return D.frames(spark, d, "ts").where(R.in_times(F.col("ts"), TIMES)).select("task_id", "frame_id")
 
 
 def rule_class_in(spark, d):
-    return R.in_classes(D.detections(spark, d), CLASSES).select(*DK, "class_id")
+    return R.in_classes(D.detections(spark, d, "class_id"), CLASSES).select(*DK, "class_id")
 
 
 def rule_polygon(spark, d):
-    return R.in_areas(D.detections(spark, d), [AREA, CONCAVE]).select(*DK)
+    return R.in_areas(D.detections(spark, d, "x", "y", "w", "h"), [AREA, CONCAVE]).select(*DK)
 
 
 def rule_tripwire(spark, d):
-    return R.in_areas(D.detections(spark, d), [WIRE]).select(*DK)
+    return R.in_areas(D.detections(spark, d, "x", "y", "w", "h"), [WIRE]).select(*DK)
 
 
 def skip_elements(spark, d):
@@ -151,7 +151,7 @@ def skip_elements(spark, d):
 def first_boxes(spark, d):
     from strandline.operators.windows import first_n
 
-    return first_n(D.detections(spark, d).where("score is not null"), ["task_id", "frame_id"], [F.col("score").desc(), "det_idx"], 3).select(*DK)
+    return first_n(D.detections(spark, d, "score").where("score is not null"), ["task_id", "frame_id"], [F.col("score").desc(), "det_idx"], 3).select(*DK)
 
 
 def _sql_meet(a, b, c, e):

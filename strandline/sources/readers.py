@@ -22,10 +22,11 @@ def read_image_dir(spark: SparkSession, path: str, loops: int = 1, with_content:
     """frame_id, path, kind, content of the images below a folder in order of path; ids go on growing over the loops."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.substring_index("path", ".", -1).isin(*SUFFIXES))
-    numbered = files.select("path", "content").withColumn("n", F.row_number().over(Window.orderBy("path")) - 1)
-    total = files.agg(F.count(F.lit(1)).alias("total"))
-    out = numbered.join(F.broadcast(total)).withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
-    out = out.select((F.col("n") + F.col("loop") * F.col("total")).cast("long").alias("frame_id"), "path", magic_kind(F.col("content")).alias("kind"), "content")
+    paths = files.select("path")  # only names are ordered in one place
+    total = paths.count()
+    numbered = paths.withColumn("n", F.row_number().over(Window.orderBy("path")) - 1).withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
+    out = numbered.join(files.select("path", "content"), "path")
+    out = out.select((F.col("n") + F.col("loop") * total).cast("long").alias("frame_id"), "path", magic_kind(F.col("content")).alias("kind"), "content")
     return out if with_content else out.drop("content")
 
 
