@@ -1,12 +1,13 @@
-"""Evaluation passages that stand in a training corpus, by a positional inverted index.
+"""Evaluation passages that stand in a training corpus, by a distributed positional inverted index.
 
-The corpus is tokenised once into an index table of positional term ids, sharded by rows and written to the shared
-folder: of each document the term at every word position (0 for words no test item has), with further readings of spoilt
-words beside it. The frequency of each term is counted over the whole index. Of every window of `min_words` consecutive
-words of a test item the rarest term becomes an anchor; each shard inverts its rows into postings, takes the anchors'
-lists less their place in the item (the offset at which the item would start) and intersects the lists of the item's
-other words at that offset; a run of `min_words` words in place is a leak. Test items are a stated query set: they go to
-the shards in blocks of bounded size, so nothing that grows with the corpus is sent anywhere and no row is shuffled.
+The corpus is tokenised once into an index that is sharded by rows and written to the shared folder: a shard holds, for each
+term of the test items, its postings (document, word position) in order; a spoilt word posts under every term it may be.
+The frequency of each term is summed over all shards. Of every window of `min_words` consecutive words of a test item the
+rarest term becomes an anchor. A shard takes the anchors' postings less their place in the item, which gives offsets at which
+the item would start, and intersects these with the offset-adjusted postings of the item's other words from the rarest on,
+dropping windows that lack a word and offsets without a window left. What remains is a leak. Test items are a stated query
+set: they go to the shards in blocks of bounded size, so nothing that grows with the corpus is sent anywhere and no row is
+shuffled.
 
 Defined results: null and empty texts hold nothing; items of fewer than `min_words` words can't be found; repeated rows
 of a document or an item give one row; null ids are left out; texts are read whole.
@@ -14,8 +15,6 @@ of a document or an item give one row; null ids are left out; texts are read who
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +25,11 @@ from strandline.sources.tables import materialise
 
 #: Characters of test items in one block; what is sent to the shards is proportional to it.
 BLOCK_CHARS = 4_000_000
-INDEX_SCHEMA = "doc_id long, terms array<int>, alt_at array<int>, alt_term array<int>"
+#: Documents and words after which a shard is closed.
+SHARD_DOCS, SHARD_WORDS = 2000, 400_000
+INDEX_SCHEMA = "doc_ids array<long>, terms array<int>, sizes array<int>, docs array<int>, places array<int>"
+#: Added to positions so that an item that would start before its document keeps a key of its own.
+PAD = 1 << 24
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS):
@@ -43,28 +46,44 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int =
         yield block
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
-    """The positional index of the corpus for the given terms; term i is words[i - 1]."""
+def postings(term: np.ndarray, doc: np.ndarray, place: np.ndarray):
+    """terms, sizes, docs, places: the postings of a shard, by term, document and position."""
+    order = np.lexsort((place, doc, term))
+    term = term[order]
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    return term[first], np.diff(np.append(first, len(term))), doc[order], place[order]
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, words: list[str], shard_docs: int = SHARD_DOCS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The index of the corpus for the given terms, a row for each shard; term i is words[i - 1]."""
     loaded: list[Vocabulary] = []
 
+    def close(ids, term, doc, place):
+        cols = [np.array(ids, np.int64), *postings(*(np.array(x, np.int32) for x in (term, doc, place)))]
+        kinds = [pa.int64(), *[pa.int32()] * 4]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, k)) for c, k in zip(cols, kinds)]
+        return pa.RecordBatch.from_arrays(lists, ["doc_ids", "terms", "sizes", "docs", "places"])
+
     def run(batches):
         if not loaded:
             loaded.append(Vocabulary(words))
         resolve = loaded[0].resolve
+        ids, term, doc, place, read = [], [], [], [], 0
         for b in batches:
-            ids, terms, ends, alts = [], [], [], []
-            for i in range(b.num_rows):
-                at, term = [], []
-                for place, w in enumerate(spoken_words(b.column(1)[i].as_py())):
-                    found = resolve(w)
-                    terms.append(found[0] if found else 0)
-                    for other in found[1:]:
-                        at.append(place)
-                        term.append(other)
-                ends.append(len(terms))
-                alts.append((at, term))
-            lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(terms, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([a for a, _ in alts], pa.list_(pa.int32())), pa.array([t for _, t in alts], pa.list_(pa.int32()))], ["doc_id", "terms", "alt_at", "alt_term"])
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                n = len(ids)
+                ids.append(doc_id)
+                for at, w in enumerate(spoken_words(text.as_py())):
+                    for t in resolve(w):
+                        term.append(t)
+                        doc.append(n)
+                        place.append(at)
+                    read += 1
+                if len(ids) >= shard_docs or read >= shard_words:
+                    yield close(ids, term, doc, place)
+                    ids, term, doc, place, read = [], [], [], [], 0
+        if ids:
+            yield close(ids, term, doc, place)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     return rows.mapInArrow(run, INDEX_SCHEMA)
@@ -72,7 +91,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -
 
 def term_counts(index: DataFrame) -> dict[int, int]:
     """Occurrences of each term over the whole corpus; as many rows as the block has words."""
-    counted = index.select(F.explode("terms").alias("t")).where("t > 0").groupBy("t").count()
+    counted = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).groupBy("t.terms").agg(F.sum("t.sizes").alias("n"))
     return {r[0]: r[1] for r in counted.collect()}
 
 
@@ -81,82 +100,72 @@ def anchors(terms: list[int], counts: dict[int, int], min_words: int) -> set[int
     return {min(range(s, s + min_words), key=lambda p: (counts.get(terms[p], 0), p)) for s in range(len(terms) - min_words + 1)}
 
 
-def search_shard(terms: np.ndarray, starts: np.ndarray, readings: list[np.ndarray], items: list[np.ndarray], anchor_term: np.ndarray, anchor_item: np.ndarray, anchor_place: np.ndarray, min_words: int):
-    """(row, item) pairs of one shard. terms: of all rows, one after the other; readings: further terms at the same places."""
-    at_anchor = np.zeros(int(max(terms.max(initial=0), anchor_term.max(initial=0), *(r.max(initial=0) for r in readings))) + 1, bool)
-    at_anchor[anchor_term] = True
-    places = [np.flatnonzero(at_anchor[r] & (r > 0)) for r in [terms, *readings]]
-    post_term = np.concatenate([r[p] for r, p in zip([terms, *readings], places)])
-    post_at = np.concatenate(places)
-    order = np.argsort(post_term, kind="stable")
-    post_term, post_at = post_term[order], post_at[order]
-    lo, hi = np.searchsorted(post_term, anchor_term), np.searchsorted(post_term, anchor_term, "right")
-    n = hi - lo
-    which = np.repeat(np.arange(len(n)), n)
-    pick = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-    row = np.searchsorted(starts, post_at[pick], "right") - 1
-    cand = np.unique(np.stack([anchor_item[which], post_at[pick] - anchor_place[which], row], 1), axis=0)
-    out = []
-    cuts = np.searchsorted(cand[:, 0], np.arange(len(items) + 1))
-    ends = np.append(starts[1:], len(terms))
-    for i, words in enumerate(items):
-        mine = cand[cuts[i] : cuts[i + 1]]
-        if not len(mine):
-            continue
-        for part in np.array_split(mine, len(mine) * len(words) // 4_000_000 + 1):
-            at = part[:, 1:2] + np.arange(len(words))
-            inside = (at >= starts[part[:, 2]][:, None]) & (at < ends[part[:, 2]][:, None])
-            at = np.where(inside, at, 0)
-            same = terms[at] == words
-            for r in readings:
-                same |= r[at] == words
-            same &= inside & (words > 0)
-            total = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(same, 1)], 1)
-            hit = ((total[:, min_words:] - total[:, :-min_words]) == min_words).any(1)
-            out.append(np.stack([part[hit, 2], np.full(int(hit.sum()), i)], 1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+class Shard:
+    """A shard's postings as sorted keys: document and position in one number."""
+
+    def __init__(self, terms: np.ndarray, sizes: np.ndarray, docs: np.ndarray, places: np.ndarray):
+        self.terms, self.ends = terms, np.cumsum(sizes)
+        self.keys = docs.astype(np.int64) << 32 | places.astype(np.int64) + PAD
+
+    def of(self, term: int) -> np.ndarray:
+        i = int(np.searchsorted(self.terms, term))
+        if i == len(self.terms) or self.terms[i] != term:
+            return self.keys[:0]
+        return self.keys[self.ends[i - 1] if i else 0 : self.ends[i]]
+
+
+def hold(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ones."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
+
+
+def search_item(shard: Shard, terms: list[int], at_anchors: list[int], order: list[int], min_words: int) -> np.ndarray:
+    """Documents of a shard that hold min_words consecutive words of an item. order: its places, the rarest term first."""
+    lists = [shard.of(terms[p]) - p for p in at_anchors]
+    start = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+    windows = len(terms) - min_words + 1
+    alive = np.ones((len(start), windows), bool)
+    for p in order:
+        if not len(start):
+            break
+        miss = ~hold(shard.of(terms[p]), start + p)
+        alive[miss, max(0, p - min_words + 1) : min(p, windows - 1) + 1] = False
+        left = alive.any(1)
+        if not left.all():
+            start, alive = start[left], alive[left]
+    return np.unique(start >> 32) if len(start) else start
 
 
 def _search(index: DataFrame, block: list[tuple[int, list[int]]], counts: dict[int, int], min_words: int) -> DataFrame:
-    long_enough = [(i, t) for i, t in block if len(t) >= min_words]
-    item_ids = [i for i, _ in long_enough]
-    items = [np.array(t, np.int32) for _, t in long_enough]
-    places = [(t[p], k, p) for k, (_, t) in enumerate(long_enough) for p in anchors(t, counts, min_words)]
-    a_term, a_item, a_place = (np.array(x, np.int64) for x in zip(*places)) if places else (np.zeros(0, np.int64),) * 3
+    items = []
+    for item_id, terms in block:
+        if len(terms) >= min_words:
+            order = sorted(range(len(terms)), key=lambda p: (counts.get(terms[p], 0), p))
+            items.append((item_id, terms, sorted(anchors(terms, counts, min_words)), order))
 
     def run(batches):
         for b in batches:
-            lists, alt_at, alt_term = b.column(1), b.column(2), b.column(3)
-            terms = lists.flatten().to_numpy(zero_copy_only=False)
-            size = np.diff(lists.offsets.to_numpy())
-            starts = np.cumsum(size) - size
-            doc, item = [], []
-            if len(terms) and len(a_term):
-                extra = np.diff(alt_at.offsets.to_numpy())
-                where = alt_at.flatten().to_numpy(zero_copy_only=False) + np.repeat(starts, extra)
-                other = alt_term.flatten().to_numpy(zero_copy_only=False)
-                readings = []
-                while len(where):  # one array for each further reading of a place
-                    first = np.ones(len(where), bool)
-                    first[1:] = where[1:] != where[:-1]
-                    r = np.full(len(terms), -1, np.int32)
-                    r[where[first]] = other[first]
-                    readings.append(r)
-                    where, other = where[~first], other[~first]
-                hits = search_shard(terms, starts, readings, items, a_term, a_item, a_place, min_words)
-                doc = b.column(0).to_numpy()[hits[:, 0]]
-                item = [item_ids[k] for k in hits[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64())], ["doc_id", "item_id"])
+            for i in range(b.num_rows):
+                ids, terms, sizes, docs, places = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(5))
+                shard = Shard(terms, sizes, docs, places)
+                doc, item = [], []
+                for item_id, words, at_anchors, order in items:
+                    found = search_item(shard, words, at_anchors, order, min_words)
+                    doc += ids[found].tolist()
+                    item += [item_id] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64())], ["doc_id", "item_id"])
 
     return index.mapInArrow(run, "doc_id long, item_id long")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", min_words: int = 16) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", min_words: int = 16, shard_docs: int = SHARD_DOCS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, item_id of every document that holds min_words consecutive words of an item."""
     found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
     for block in item_blocks(items, item_id, text_col):
         words = sorted({w for _, ws in block for w in ws})
         number = {w: i + 1 for i, w in enumerate(words)}
-        index = materialise(build_index(docs, doc_id, text_col, words), "leak-index")
+        index = materialise(build_index(docs, doc_id, text_col, words, shard_docs, shard_words), "leak-index")
         found = found.unionByName(_search(index, [(i, [number[w] for w in ws]) for i, ws in block], term_counts(index), min_words))
     return found.dropDuplicates(["doc_id", "item_id"])

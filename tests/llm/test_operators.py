@@ -215,10 +215,10 @@ def test_spoken_words():
     assert w(None) == [] and w("") == [] and w(" \n ") == []
 
 
-def leaks(spark, texts, item=ITEM, n=16):
+def leaks(spark, texts, item=ITEM, n=16, **more):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, item, 1, "x"), (50, None, 1, ""), (51, "", 1, "")], "doc_id long, text string, item_id int, terms string")
     items = spark.createDataFrame([(9, item, "en"), (10, "too short", "en"), (11, None, None), (9, item, "de")], "item_id long, text string, doc_id string")
-    return {(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, items, min_words=n).collect()}
+    return {(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, items, min_words=n, **more).collect()}
 
 
 def test_leaks(spark):
@@ -249,15 +249,21 @@ def test_leaks_of_nothing(spark):
 
 def test_search_equals_brute_force():
     rng = np.random.default_rng(4)
-    docs = [rng.integers(0, 4, rng.integers(0, 60)).astype(np.int32) for _ in range(40)]
-    items = [rng.integers(1, 4, 12).astype(np.int32) for _ in range(6)]
-    terms = np.concatenate(docs)
-    starts = np.cumsum([0, *map(len, docs)])[:-1]
-    counts = dict(zip(*[x.tolist() for x in np.unique(terms, return_counts=True)]))
-    places = [(int(t[p]), k, p) for k, t in enumerate(items) for p in leakage.anchors(t.tolist(), counts, 5)]
-    got = {tuple(x) for x in leakage.search_shard(terms, starts, [], items, *(np.array(x) for x in zip(*places)), 5).tolist()}
-    want = {(d, k) for d, x in enumerate(docs) for k, t in enumerate(items) if {tuple(t[i : i + 5]) for i in range(8)} & {tuple(x[i : i + 5]) for i in range(len(x) - 4)}}
-    assert got == want
+    docs = [rng.integers(1, 4, rng.integers(0, 60)) for _ in range(40)]
+    items = [rng.integers(1, 4, 12).tolist() for _ in range(6)] + [[5] * 12]
+    term, doc, place = (np.concatenate(x).astype(np.int32) for x in zip(*[(d, np.full(len(d), i), np.arange(len(d))) for i, d in enumerate(docs)]))
+    shard = leakage.Shard(*leakage.postings(term, doc, place))
+    counts = dict(zip(*[x.tolist() for x in np.unique(term, return_counts=True)]))
+    for t in items:
+        order = sorted(range(12), key=lambda p: (counts.get(t[p], 0), p))
+        got = leakage.search_item(shard, t, sorted(leakage.anchors(t, counts, 5)), order, 5).tolist()
+        windows = {tuple(t[i : i + 5]) for i in range(8)}
+        assert got == [i for i, x in enumerate(docs) if windows & {tuple(x[j : j + 5]) for j in range(len(x) - 4)}]
+
+
+@pytest.mark.parametrize("docs,words", [(1, 10**9), (2, 10**9), (10**9, 50)])
+def test_shards_do_not_matter(spark, docs, words):
+    assert leaks(spark, [srt(ITEM.split()), "none", srt(ITEM.split()[3:])], shard_docs=docs, shard_words=words) == {(0, 9), (2, 9)}
 
 
 # shared spans
