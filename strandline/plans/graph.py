@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 from collections.abc import Callable
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import routing, rules, sampling, tracking
+from strandline.operators.models import ModelSpec, detect
 
 
 @dataclass
@@ -47,6 +49,8 @@ class ConfigError(ValueError):
 #: Flow of an element's input: relation name -> DataFrame (frames, detections, tracks, routed, ...).
 FrameSet = dict[str, DataFrame]
 _REGISTRY: dict[str, "Operator"] = {}
+#: By element name: a ModelSpec for detectors, or a function (element, relations) -> relations for models that run elsewhere.
+MODEL_SLOTS: dict[str, "ModelSpec | Callable[[Element, FrameSet], FrameSet]"] = {}
 
 
 @dataclass
@@ -78,6 +82,11 @@ def operator(name: str) -> Operator:
     return found
 
 
+def load_plugin(module: str) -> None:
+    """Imports a module that registers operators of its own."""
+    importlib.import_module(module)
+
+
 def operators() -> list[str]:
     return sorted(n for o in _REGISTRY.values() for n in ([o.name, f"{o.name}_group"] if o.group else [o.name]))
 
@@ -182,10 +191,12 @@ def _decode(e, inputs):
 
 
 def _model(e, inputs):
-    """Detections given as a relation stand for a model's output; thresholds and suppression are the element's own."""
+    """Thresholds and suppression over the detections given as a relation, or made by the ModelSpec of the element's name."""
     from strandline.functions.suppression import suppress
 
     fs = dict(inputs[min(inputs)])
+    if isinstance(spec := MODEL_SLOTS.get(e.name.removesuffix("_group")), ModelSpec):
+        fs["detections"] = detect(fs["frames"], spec)
     thr = e.configure.get("threshold_conf", 0.0)
     thr = {int(k): float(v) for k, v in thr.items()} if isinstance(thr, dict) else float(thr)
     det = rules.class_threshold(fs["detections"], thr)
@@ -197,7 +208,7 @@ def _model(e, inputs):
 
 
 for _name in ("yolov5", "yolov7", "yolov8", "yolox", "retinaface"):
-    register(_name, ("frames", "detections"), group=True)(_model)
+    register(_name, ("frames",), group=True)(_model)
 
 
 def _slot(e, inputs):
@@ -207,8 +218,6 @@ def _slot(e, inputs):
     return {0: fn(e, fs) if fn else fs}
 
 
-#: Functions (element, relations) -> relations for models whose inference runs elsewhere.
-MODEL_SLOTS: dict[str, Callable[[Element, FrameSet], FrameSet]] = {}
 for _name in ("resnet", "lprnet", "ppocr_det", "ppocr_rec", "openpose", "fastpose", "posec3d", "lightstereo", "template", "dwa", "dpu", "ive", "resize"):
     register(_name, group=_name not in ("resnet", "lightstereo", "dwa", "dpu", "ive", "resize"))(_slot)
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 #: Rows a channel's push queue holds, tries of an error report.
 QUEUE, TRIES = 20, 5
@@ -94,6 +95,26 @@ def report_error(url: str, code: int, message: str, send: Callable[[str, str], b
     return any(send(url, body) for _ in range(TRIES))
 
 
+class ErrorReports(StreamingQueryListener):
+    """Reports the failure of any streaming query: spark.streams.addListener(ErrorReports(url))."""
+
+    def __init__(self, url: str, send: Callable[[str, str], bool] = post):
+        self.url, self.send = url, send
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            report_error(self.url, 1, str(event.exception)[:2000], self.send)
+
+
 def write_images(df: DataFrame, root: str, content: str = "content", prefix: str = "") -> DataFrame:
     """Writes each row's image as {root}/{prefix}{graph}_{channel}/{frame}.jpg on shared storage; returns the paths. A repeated write replaces the file."""
     def run(batches):

@@ -201,3 +201,42 @@ def test_sampling_bypass(spark):
     f = sampling.sample_frames(D.frames(spark, SMALL), 3, sampling.KEEP)
     out = sampling.bypass(f, lambda d: d.withColumn("seen", F.lit(1)))
     assert out.count() == f.count() and out.where("seen = 1").count() == f.where("not filtered").count()
+
+
+def test_model_slot(spark):
+    import numpy as np
+    from strandline.functions import decode, image
+    from strandline.operators.models import ModelSpec, detect
+
+    def infer(x):
+        return [np.array([[32, 32, 20.0 * (1 + i.max() / 255), 10, 0.9, 1.0]]) for i in x]
+
+    spec = ModelSpec(lambda im: image.normalise(image.letterbox(im, 64, 64), (0, 0, 0), (1, 1, 1)), infer, lambda o, size: decode.decode_v5([o], size, (64, 64), 0.5, 0.5))
+    rows = [(1, i, 64, 64, bytearray([255]) * (64 * 64 * 3)) for i in range(3)] + [(1, 9, 64, 64, None), (1, 10, 64, 64, bytearray(5))]
+    frames = spark.createDataFrame(rows, "task_id long, frame_id long, width int, height int, image binary")
+    got = detect(frames, spec).collect()
+    assert sorted(r.frame_id for r in got) == [0, 1, 2] and {(r.x, r.y, r.w, r.h) for r in got} == {(12, 27, 40, 10)}
+    G.MODEL_SLOTS["yolov5"] = spec
+    try:
+        out = G.operator("yolov5_group").plan(G.Element(1, "yolov5_group", {"threshold_conf": {0: 0.5}}), {0: {"frames": frames}})
+        assert out[0]["detections"].count() == 3
+    finally:
+        del G.MODEL_SLOTS["yolov5"]
+
+
+def test_error_reports():
+    from types import SimpleNamespace
+
+    seen = []
+    r = sinks.ErrorReports("u", lambda u, b: seen.append(json.loads(b)) or True)
+    r.onQueryTerminated(SimpleNamespace(exception=None))
+    r.onQueryTerminated(SimpleNamespace(exception="broken"))
+    assert [b["Msg"] for b in seen] == ["broken"]
+
+
+def test_log_metrics(spark):
+    from strandline.operators.aggregates import log_metrics
+
+    df = spark.createDataFrame([("a", "fps: 20.5 cpu 30%"), ("a", "fps: 21.5"), ("b", "none")], "host string, value string")
+    got = {r.host: (r.fps_mean, r.fps_max, r.cpu_max) for r in log_metrics(df, {"fps": r"fps: ([0-9.]+)", "cpu": r"cpu (\d+)%"}, ["host"]).collect()}
+    assert got == {"a": (21.0, 21.5, 30.0), "b": (None, None, None)}
