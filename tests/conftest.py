@@ -20,5 +20,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from strandline.sources.shipping import ship
+
+    ship(s)
     yield s
     s.stop()
