@@ -35,7 +35,7 @@ RULES: list[tuple[str, str]] = [
     ("userinfo_encoded_twice", r"%253A%252F%252F(?:(?!%253A|%2540|%252F)[^\s&/@\"'])*%253A((?:(?!%252F)[^\s&/\"'])*)%2540"),
     ("userinfo_encoded", r"%3A%2F%2F(?:(?!%3A|%40|%2F)[^\s&/@\"'])*%3A((?:(?!%2F)[^\s&/\"'])*)%40"),
     ("userinfo_password", r"[a-z0-9]://[^\s/:@?#\"'|]*:([^\s/\"|]*)@"),
-    ("userinfo_token", r"[a-z0-9]://([^\s/:@?#\"']{16,})@"),
+    ("userinfo_token", r"[a-z0-9]://([^\s/:@?#\"']{16,}):?@"),
     ("authorization_scheme", r"authorization(?:\"|'|%22)?\s*(?:=|:|%3D|%3A)\s*[\"']?(?:bearer|basic|digest|token)(?:\s|%20|\+)+([^\s\"'&#|;,]+)"),
     ("path_token", r"/(?:auth|token|key|secret)/([A-Za-z0-9_~.=-]{16,})(?=/|$|\?|#)"),
     ("login_comment", r"#\s*login\s+\S+\s*/\s*(\S+)"),

@@ -95,9 +95,10 @@ def term_counts(index: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in counted.collect()}
 
 
-def anchors(terms: list[int], counts: dict[int, int], min_words: int) -> set[int]:
-    """Places of an item such that each window of min_words has its rarest term among them."""
-    return {min(range(s, s + min_words), key=lambda p: (counts.get(terms[p], 0), p)) for s in range(len(terms) - min_words + 1)}
+def anchors(terms: list[int], counts: dict[int, int], min_words: int, spare: int = 0) -> set[int]:
+    """Places of an item such that each window of min_words has its spare + 1 rarest terms among them."""
+    rarest = lambda s: sorted(range(s, s + min_words), key=lambda p: (counts.get(terms[p], 0), p))[: spare + 1]
+    return {p for s in range(len(terms) - min_words + 1) for p in rarest(s)}
 
 
 class Shard:
@@ -121,29 +122,32 @@ def hold(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
 
 
-def search_item(shard: Shard, terms: list[int], at_anchors: list[int], order: list[int], min_words: int) -> np.ndarray:
-    """Documents of a shard that hold min_words consecutive words of an item. order: its places, the rarest term first."""
+def search_item(shard: Shard, terms: list[int], at_anchors: list[int], order: list[int], min_words: int, spare: int = 0) -> np.ndarray:
+    """Documents of a shard that hold min_words consecutive words of an item, all but `spare` of them at their places.
+
+    order: the item's places, the rarest term first.
+    """
     lists = [shard.of(terms[p]) - p for p in at_anchors]
     start = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
     windows = len(terms) - min_words + 1
-    alive = np.ones((len(start), windows), bool)
+    missed = np.zeros((len(start), windows), np.int16)
     for p in order:
         if not len(start):
             break
         miss = ~hold(shard.of(terms[p]), start + p)
-        alive[miss, max(0, p - min_words + 1) : min(p, windows - 1) + 1] = False
-        left = alive.any(1)
+        missed[miss, max(0, p - min_words + 1) : min(p, windows - 1) + 1] += 1
+        left = (missed <= spare).any(1)
         if not left.all():
-            start, alive = start[left], alive[left]
+            start, missed = start[left], missed[left]
     return np.unique(start >> 32) if len(start) else start
 
 
-def _search(index: DataFrame, block: list[tuple[int, list[int]]], counts: dict[int, int], min_words: int) -> DataFrame:
+def _search(index: DataFrame, block: list[tuple[int, list[int]]], counts: dict[int, int], min_words: int, spare: int = 0) -> DataFrame:
     items = []
     for item_id, terms in block:
         if len(terms) >= min_words:
             order = sorted(range(len(terms)), key=lambda p: (counts.get(terms[p], 0), p))
-            items.append((item_id, terms, sorted(anchors(terms, counts, min_words)), order))
+            items.append((item_id, terms, sorted(anchors(terms, counts, min_words, spare)), order))
 
     def run(batches):
         for b in batches:
@@ -152,7 +156,7 @@ def _search(index: DataFrame, block: list[tuple[int, list[int]]], counts: dict[i
                 shard = Shard(terms, sizes, docs, places)
                 doc, item = [], []
                 for item_id, words, at_anchors, order in items:
-                    found = search_item(shard, words, at_anchors, order, min_words)
+                    found = search_item(shard, words, at_anchors, order, min_words, spare)
                     doc += ids[found].tolist()
                     item += [item_id] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64())], ["doc_id", "item_id"])
@@ -160,12 +164,16 @@ def _search(index: DataFrame, block: list[tuple[int, list[int]]], counts: dict[i
     return index.mapInArrow(run, "doc_id long, item_id long")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", min_words: int = 16, shard_docs: int = SHARD_DOCS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, item_id of every document that holds min_words consecutive words of an item."""
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", min_words: int = 16, spare: int = 0, shard_docs: int = SHARD_DOCS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, item_id of every document that holds min_words consecutive words of an item.
+
+    With `spare`, so many of them may be other words (proximity matches): still found without loss, for a window that lacks
+    `spare` words has one of its spare + 1 rarest.
+    """
     found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
     for block in item_blocks(items, item_id, text_col):
         words = sorted({w for _, ws in block for w in ws})
         number = {w: i + 1 for i, w in enumerate(words)}
         index = materialise(build_index(docs, doc_id, text_col, words, shard_docs, shard_words), "leak-index")
-        found = found.unionByName(_search(index, [(i, [number[w] for w in ws]) for i, ws in block], term_counts(index), min_words))
+        found = found.unionByName(_search(index, [(i, [number[w] for w in ws]) for i, ws in block], term_counts(index), min_words, spare))
     return found.dropDuplicates(["doc_id", "item_id"])

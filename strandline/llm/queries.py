@@ -80,6 +80,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(_documents(spark, d), table(spark, d, "eval_items"), min_words=LEAK_WORDS)
 
 
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_found, but two of the sixteen words may be other ones."""
+    return leakage.find_leaks(_documents(spark, d), table(spark, d, "eval_items"), min_words=LEAK_WORDS, spare=2)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_spans(_documents(spark, d), length=SPAN_CHARS)
 
@@ -89,7 +94,7 @@ def p8_amounts(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_amounts(shared_spans.shared_spans(docs, length=SPAN_CHARS), docs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_runs, p4_found, p4_terms, p6_ids, p7_found, p8_found, p8_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_runs, p4_found, p4_terms, p6_ids, p7_found, p7_near, p8_found, p8_amounts)}
 
 _FLAT = "lower(trim(regexp_replace(class_name, '[ \\t_-]+', ' ', 'g')))"
 _RUNS = f"""

@@ -50,6 +50,7 @@ URLS = {
     "rtsp://admin:fern@30@edge-46.example:554/roof": ["fern@30"],
     "RTSP://cam:ridge:BkNj@192.0.2.1/live": ["ridge:BkNj"],
     "rtsp://ops:SQ68s%2FGV1s@h/x": ["SQ68s%2FGV1s"],
+    "https://lq5XbRsSPxiimq4OQhJvkC7KbTz9pAS5XC:@h/x": ["lq5XbRsSPxiimq4OQhJvkC7KbTz9pAS5XC"],
     "rtsp://ops:@h/x": [], "rtsp://ops@h/x": [], "rtsp://h/roof@1080p": [], "rtsp://admin:****@h/x": [], "rtsp://a:%CAM_PW%@h/x": [],
     "rtsp://a:{{vault.cam}}@h/x": [], "rtsp://a:$PW@h/x": [], "rtsp://a:${PW}@h/x": [],
     "https://lq5XbRsSPxiimq4OQhJvkC7KbTz9pAS5XC@h/x": ["lq5XbRsSPxiimq4OQhJvkC7KbTz9pAS5XC"],
@@ -259,6 +260,10 @@ def test_search_equals_brute_force():
         got = leakage.search_item(shard, t, sorted(leakage.anchors(t, counts, 5)), order, 5).tolist()
         windows = {tuple(t[i : i + 5]) for i in range(8)}
         assert got == [i for i, x in enumerate(docs) if windows & {tuple(x[j : j + 5]) for j in range(len(x) - 4)}]
+        near = leakage.search_item(shard, t, sorted(leakage.anchors(t, counts, 5, 1)), order, 5, 1).tolist()
+        # beyond a document's end there are no words, so a window may hang over by the words it may lack
+        padded = [[0, *x, 0] for x in docs]
+        assert near == [i for i, x in enumerate(padded) if any(sum(a == b for a, b in zip(w, x[j : j + 5])) >= 4 for w in windows for j in range(len(x) - 4))]
 
 
 @pytest.mark.parametrize("docs,words", [(1, 10**9), (2, 10**9), (10**9, 50)])
