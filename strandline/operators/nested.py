@@ -19,9 +19,8 @@ from collections.abc import Iterator
 from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROOT, SUB, DETECTION, FRAME, BOX = "object", "sub_object", "detection", "frame", "box"
 NODE_SCHEMA = "record_id long, tag string, node_path string, parent_path string, payload string"
@@ -173,8 +172,7 @@ TABLE_FIELDS = {
 
 def typed_table(nodes: DataFrame, tag: str) -> DataFrame:
     """The flat table of one tag with its schema applied; keys record_id, node_path, parent_path stay first."""
-    fields = T._parse_datatype_string(TABLE_FIELDS[tag]) if hasattr(T, "_parse_datatype_string") else TABLE_FIELDS[tag]
-    body: Column = F.from_json("payload", fields)
+    body = F.from_json("payload", TABLE_FIELDS[tag])
     return nodes.where(F.col("tag") == tag).select("record_id", "node_path", "parent_path", body.alias("f")).select("record_id", "node_path", "parent_path", "f.*")
 
 

@@ -292,19 +292,17 @@ def _faiss(e, inputs):
     return {0: fs}
 
 
-def _zip(check: bool):
-    def plan(e, inputs):
-        a, b = (inputs[p] for p in sorted(inputs)[:2])
-        f = routing.zip_on_frame(a["frames"], b["frames"].select(*FRAME, "width", "height"), FRAME)
-        if e.name == "stitch":
-            tall = str(e.configure.get("stitch_mode", "HORIZONTAL")).upper() == "VERTICAL"
-            f = f.withColumn("width", F.greatest("width", "right_width") if tall else F.col("width") + F.col("right_width")).withColumn("height", F.col("height") + F.col("right_height") if tall else F.greatest("height", "right_height"))
-        return {0: {**a, "frames": f.drop("right_width", "right_height")}}
-
-    return plan
+def _zip(e, inputs):
+    """Pairs the frames of the two lowest ports; a stitch also gives the joint size."""
+    a, b = (inputs[p] for p in sorted(inputs)[:2])
+    f = routing.zip_on_frame(a["frames"], b["frames"].select(*FRAME, "width", "height"), FRAME)
+    if e.name == "stitch":
+        tall = str(e.configure.get("stitch_mode", "HORIZONTAL")).upper() == "VERTICAL"
+        f = f.withColumn("width", F.greatest("width", "right_width") if tall else F.col("width") + F.col("right_width")).withColumn("height", F.col("height") + F.col("right_height") if tall else F.greatest("height", "right_height"))
+    return {0: {**a, "frames": f.drop("right_width", "right_height")}}
 
 
 for _name in ("stitch", "blend"):
-    register(_name)(_zip(True))
+    register(_name)(_zip)
 for _name in ("osd", "encode", "http_push", "qt_display"):
     register(_name)(_blank)
