@@ -27,8 +27,14 @@ def best_steps(tensor: Column, symbols: int, steps: int, symbol_major: bool) ->
 
 
 def collapse(steps: Column, blank: int) -> Column:
-    """The steps that start a new symbol: neither blank nor a repeat of the step before."""
-    return F.filter(steps, lambda x, i: (x["s"] != blank) & ((i == 0) | (F.get(steps, i - 1)["s"] != x["s"])))
+    """The steps that start a new symbol: neither blank nor a repeat of the step before. One fold over the steps."""
+    none = F.slice(F.array(F.struct(F.lit(0).alias("s"), F.lit(0.0).alias("p"))), 1, 0)
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (x["s"] != blank) & (x["s"] != acc["before"])
+        return F.struct(x["s"].alias("before"), F.when(new, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+
+    return F.aggregate(steps, F.struct(F.lit(-1).alias("before"), none.alias("kept")), step, lambda acc: acc["kept"])
 
 
 def greedy_text(steps: Column, alphabet: list[str], blank: int) -> Column:
