@@ -32,3 +32,9 @@ def test_angles_and_areas(spark):
     r = spark.range(1).select(*G.regular_angle(F.lit(2.0), F.lit(5.0), F.lit(3.0)), *G.rotated_corners(F.lit(10.0), F.lit(10.0), F.lit(4.0), F.lit(2.0), F.lit(0.0))).first()
     assert r[0] == 5 and r[1] == 2 and abs(r[2] - (3 + math.pi / 2) % math.pi) < 1e-9
     assert list(r[3:]) == [12, 11, 12, 9, 8, 9, 8, 11]
+
+
+@pytest.mark.parametrize("a,b,c,d,meet", [((0, 0), (4, 4), (0, 4), (4, 0), True), ((0, 0), (1, 1), (2, 2), (3, 3), False), ((0, 0), (2, 2), (1, 1), (5, 5), True), ((0, 0), (2, 0), (2, 0), (2, 9), True), ((0, 0), (2, 0), (3, 0), (3, 9), False)])
+def test_segments(spark, a, b, c, d, meet):
+    p = lambda v: (F.lit(v[0]), F.lit(v[1]))
+    assert spark.range(1).select(G.segments_meet(p(a), p(b), p(c), p(d))).first()[0] is meet
