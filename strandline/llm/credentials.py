@@ -102,23 +102,42 @@ def required(expression: str) -> list[frozenset[int]] | None:
     return [s for s in sets if not any(o < s for o in sets)]  # a set that contains another adds nothing
 
 
+#: Bytes of text that the index takes up at once; longer texts come in chunks that overlap by two bytes.
+CHUNK = 1 << 20
+
+
 class TrigramIndex:
     """Postings of one shard: for each trigram (of lower-cased UTF-8) the ascending numbers of the texts that hold it."""
 
     def __init__(self, texts: pa.Array):
-        lower = [(t or "").lower().encode() for t in texts.to_pylist()]
-        self.size = len(lower)
-        flat = np.frombuffer(b"\n".join(lower) + b"\n", np.uint8).astype(np.int64)
-        owner = np.repeat(np.arange(self.size), [len(x) + 1 for x in lower])
-        if len(flat) < 3:
-            flat, owner = np.zeros(3, np.int64), np.zeros(3, np.int64)
-        code = flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:]
-        inside = owner[:-2] == owner[2:]
-        pairs = np.unique(code[inside] * max(1, self.size) + owner[:-2][inside])
-        grams, self.texts = np.divmod(pairs, max(1, self.size))
+        self.size = len(texts)
+        found, chunks, held = [], [], 0
+        for i, text in enumerate(texts):
+            b = (text.as_py() or "").lower().encode()
+            for at in range(0, len(b) - 2, CHUNK):
+                chunks.append((i, b[at : at + CHUNK + 2]))
+                held += len(chunks[-1][1])
+                if held >= CHUNK:
+                    found.append(self._pairs(chunks))
+                    chunks, held = [], 0
+        if chunks:
+            found.append(self._pairs(chunks))
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        grams, self.texts = pairs >> 32, pairs & 0xFFFFFFFF
         self.grams, self.starts = np.unique(grams, return_index=True)
         self.ends = np.append(self.starts[1:], len(grams))
 
+    @staticmethod
+    def _pairs(chunks: list[tuple[int, bytes]]) -> np.ndarray:
+        """Distinct (trigram, text number) pairs of some chunks, each pair in one number."""
+        flat = np.frombuffer(b"".join(c for _, c in chunks), np.uint8).astype(np.int64)
+        size = np.array([len(c) for _, c in chunks])
+        whose = np.repeat(np.arange(len(chunks)), size)
+        code = flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:]
+        inside = whose[:-2] == whose[2:]
+        number = np.array([i for i, _ in chunks])[whose[:-2][inside]]
+        return np.unique(code[inside] << 32 | number)
+
     def postings(self, gram: int) -> np.ndarray:
         i = int(np.searchsorted(self.grams, gram))
         return self.texts[self.starts[i] : self.ends[i]] if i < len(self.grams) and self.grams[i] == gram else self.texts[:0]

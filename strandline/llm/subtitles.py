@@ -29,7 +29,7 @@ _TIMED = re.compile(r"(?m)(?:^[ \t\ufeff]*[0-9lIOoSBZiz|gqDQ#]{1,7}[ \t]*\r?\n)?
 _HEADER = re.compile(r"^\ufeff?\s*WE[B8]VTT[^\n]*")
 #: The fields before a line's text; their commas may be misread as stops or quotes.
 _ASS = re.compile(r"(?m)^\ufeff?[^\s:]{5,12}:[^\n]{20,60}?[,.'’]+[0oOQ][,.'’]+[0oOQ][,.'’]+[0oOQ][,.'’]{1,2}")
-_SOUND = re.compile(r"\[[^\[\]]{0,120}\]|\([^()]{0,120}\)|♪[^♪\n]{0,120}♪|🎵[^🎵\n]{0,120}🎵|(?m:^[\s-]*\*[^*\n]{1,80}\*[ \t\r]*$)|\*[a-zA-Z][^*\n]{1,60}\*|(?m:^[\s-]*[?#][ \t][^?#\n]{0,60}[?#][ \t\r]*$)")
+_SOUND = re.compile(r"\[[^\[\]]{0,120}\]|\([^()]{0,120}\)|♪[^♪\n]{0,120}♪|🎵[^🎵\n]{0,120}🎵|(?m:^[ \t-]*\*[^*\n]{1,80}\*[ \t\r]*$)|\*[a-zA-Z][^*\n]{1,60}\*|(?m:^[ \t-]*[?#][ \t][^?#\n]{0,60}[?#][ \t\r]*$)")
 _BRACES = re.compile(r"\{[^{}\n]{0,80}\}")
 _TAG = re.compile(r"<[^<>\n]{0,120}>")
 _BREAK = re.compile(r"\\[NnhH]|\|")
@@ -86,9 +86,13 @@ def spoken_words(text: str | None) -> list[str]:
     return [w for w in map(plain, text.split()) if w]
 
 
-@lru_cache(100_000)
 def plain(word: str) -> str:
     """A word in lower case without punctuation; '' where no letter or digit is left."""
+    return _plain(word) if len(word) < 64 else _plain.__wrapped__(word)
+
+
+@lru_cache(100_000)
+def _plain(word: str) -> str:
     w = _NOT_WORD.sub("", unicodedata.normalize("NFC", word.lower())) if not word.isalpha() else word.lower()
     return w if any(c.isalnum() or c == "\ufffd" for c in w) else ""
 
@@ -150,9 +154,12 @@ class Vocabulary:
             self.buckets.setdefault(skeleton(w), []).append((i, spoilt_forms(w)))
         self.all = [x for b in self.buckets.values() for x in b]
         self.known: dict[str, tuple[int, ...]] = {w: (i,) for w, i in self.ids.items()}
+        self.longest = 2 * max(map(len, words), default=0)  # a letter is misread as two at most
 
     def resolve(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
+        if found is None and len(word) > self.longest:
+            return ()
         if found is None:
             if len(self.known) > self.REMEMBER:
                 self.known = {w: (i,) for w, i in self.ids.items()}

@@ -104,6 +104,17 @@ def test_index_loses_nothing():
     assert all(need is not None for _, _, need in rules.rules)  # every rule has required trigrams
 
 
+def test_index_chunks(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["", None, "ab", "abcdefgh" * 5, "xyzé" * 3, "abc"]
+    want = {g: [i for i, t in enumerate(texts) if g in credentials.trigrams(t or "")] for t in texts for g in credentials.trigrams(t or "")}
+    for size in (1, 3, 7, 1 << 20):
+        monkeypatch.setattr(credentials, "CHUNK", size)
+        index = credentials.TrigramIndex(pa.array(texts))
+        assert {g: index.postings(g).tolist() for g in want} == want and index.postings(1).tolist() == []
+
+
 @pytest.mark.parametrize("x,text", [("ab(?:cd|ef)gh", "abefgh"), ("x?abc+d", "abccd"), ("(?:abc){2}", "abcabc"), ("[ab]cde", "bcde"), ("a.b", "axb")])
 def test_required_trigrams_hold(x, text):
     need = credentials.required(x)
@@ -214,6 +225,8 @@ def test_spoken_words():
     assert w("Dialogue: 0,0:00:38.78,0:00:42.19,Default,,0,0,0,,Hand me\\Nthe\nDialogue: 0,0:00:43.94,0:00:45.13,Default,,0,0,0,,(SIGHS) gate") == want
     assert w("LetÃ¢â‚¬â„¢s dÃ» fÃªlÃ© &eacute;t&eacute;") == ["lets", "dû", "fêlé", "été"]
     assert w(None) == [] and w("") == [] and w(" \n ") == []
+    for long in ("\n" * 200_000, " " * 200_000 + "x", "- " * 100_000, "1\n" * 100_000, "a" * 500_000, "[" * 100_000, "<" * 100_000, "x --> y\n" * 20_000, "? " * 50_000, "{" * 50_000):
+        assert len(w(long)) <= 1  # and in no time
 
 
 def leaks(spark, texts, item=ITEM, n=16, **more):
