@@ -35,11 +35,17 @@ def densify_channels(channels: DataFrame, graph: str = "graph_id", channel: str
     return channels.withColumn("channel_idx", F.row_number().over(Window.partitionBy(graph).orderBy(seen, channel)) - 1)
 
 
-def number_frames(frames: DataFrame, stream: list[str], order: list[str]) -> DataFrame:
+def number_frames(frames: DataFrame, stream: list[str], order: list[str | Column]) -> DataFrame:
     """Frame ids from 0 in arrival order, for sources that store none. Store the result: filters cannot pass a window."""
     return frames.withColumn("frame_no", (F.row_number().over(Window.partitionBy(*stream).orderBy(*order)) - 1).cast("long"))
 
 
+def carry_time(frames: DataFrame, stream: list[str], ts: str, order: str) -> DataFrame:
+    """Frames without a timestamp get that of the last frame before them that has one; those before the first stay null."""
+    before = Window.partitionBy(*stream).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return frames.withColumn(ts, F.last(ts, ignorenulls=True).over(before))
+
+
 def bypass(df: DataFrame, step, flag: str = "filtered") -> DataFrame:
     """Applies `step` to the rows that aren't flagged and forwards the flagged as they are."""
     done = step(df.where(~F.col(flag)))

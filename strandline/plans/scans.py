@@ -27,9 +27,16 @@ DK = ["task_id", "frame_id", "det_idx"]
 
 
 def scan_frames(spark, d):
+    """Frame numbers over the frames that have a timestamp only; `scan_frames_all` numbers every frame of a run."""
     return S.number_frames(D.frames(spark, d, "ts").where("ts is not null"), ["task_id"], ["ts", "frame_id"]).select("task_id", "frame_id", "frame_no")
 
 
+def scan_frames_all(spark, d):
+    """Every frame of a run numbered from 0 by time; one without a timestamp stands behind the last timed frame of a lower frame id."""
+    f = S.carry_time(D.frames(spark, d, "ts"), ["task_id"], "ts", "frame_id")
+    return S.number_frames(f, ["task_id"], [F.col("ts").asc_nulls_first(), "frame_id"]).select("task_id", "frame_id", "frame_no")
+
+
 def sample_drop(spark, d):
     return S.sample_frames(D.frames(spark, d, "eos"), 5).select("task_id", "frame_id")
 
@@ -200,6 +207,7 @@ _D = "select task_id, frame_id, det_idx"
 
 ORACLE = {
     "scan_frames": WITH + "select task_id, frame_id, row_number() over (partition by task_id order by ts, frame_id) - 1 as frame_no from fr where ts is not null",
+    "scan_frames_all": WITH + ", c as (select task_id, frame_id, last_value(ts ignore nulls) over (partition by task_id order by frame_id rows unbounded preceding) as seen from fr) select task_id, frame_id, row_number() over (partition by task_id order by seen nulls first, frame_id) - 1 as frame_no from c",
     "sample_drop": WITH + "select task_id, frame_id from fr where frame_id % 5 = 0 or coalesce(eos, false)",
     "sample_keep": WITH + "select task_id, frame_id, frame_id % 4 <> 0 as filtered from fr",
     "loop_replay": WITH + f"select task_id, cast(l as int) as loop, frame_id + l * n as frame_id from fr join (select task_id, max(frame_id) + 1 as n from fr group by task_id) using (task_id), range({LOOPS}) t(l)",
