@@ -143,7 +143,7 @@ def spoilt_forms(word: str) -> re.Pattern:
 
 
 class Vocabulary:
-    """Ids of known words; `resolve` also gives those whose spoilt form a word may be."""
+    """Ids of known words; `resolve` gives a word's own and those whose spoilt form it may be, known word or not."""
 
     REMEMBER = 400_000
 
@@ -153,7 +153,7 @@ class Vocabulary:
         for w, i in self.ids.items():
             self.buckets.setdefault(skeleton(w), []).append((i, spoilt_forms(w)))
         self.all = [x for b in self.buckets.values() for x in b]
-        self.known: dict[str, tuple[int, ...]] = {w: (i,) for w, i in self.ids.items()}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.longest = 2 * max(map(len, words), default=0)  # a letter is misread as two at most
 
     def resolve(self, word: str) -> tuple[int, ...]:
@@ -162,7 +162,7 @@ class Vocabulary:
             return ()
         if found is None:
             if len(self.known) > self.REMEMBER:
-                self.known = {w: (i,) for w, i in self.ids.items()}
+                self.known = {}
             some = self.all if "#" in word or "\ufffd" in word else [x for s in skeletons(word) for x in self.buckets.get(s, ())]
             found = self.known[word] = tuple(dict.fromkeys(i for i, x in some if x.fullmatch(word)))
         return found

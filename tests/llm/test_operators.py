@@ -248,6 +248,22 @@ def test_leaks(spark):
     assert leaks(spark, texts) == {(i, 9) for i in (0, 1, 4, 5, 7, 8, 9, 10, 11)}
 
 
+def test_known_words_may_be_spoilt_forms():
+    words = ["boat", "boot", "can", "con", "if", "it", "que", "qué", "gate"]
+    v = subtitles.Vocabulary(words)
+    got = {w: {words[i - 1] for i in v.resolve(w)} for w in words}
+    assert got == {w: {x for x in words if subtitles.spoilt_forms(x).fullmatch(w)} for w in words}
+    assert got["boot"] == {"boot", "boat"} and got["gate"] == {"gate"}
+
+
+def test_leak_with_a_word_of_another_item(spark):
+    a = "the boat that nobody will paint again drifts past my old gate while every lamp burns low"
+    b = "one boot is all my brother found when he walked along that river bed in late june again"
+    docs = spark.createDataFrame([(0, srt(a.replace("boat", "boot").split())), (1, srt(a.replace("boat", "kettle").split()))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, items).collect()} == {(0, 1)}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 10)
     monkeypatch.setattr(leakage.item_blocks, "__defaults__", (10,))
