@@ -20,6 +20,9 @@ FRAME, STREAM = D.FRAME, D.STREAM
 DK = D.DET
 ROUTES = [T.RouteRule([T.Route(["pedestrian", "turnstile"], 1), T.Route(["sedan", "lorry"], 2), T.Route(["sedan"], 3)], frame_interval=2), T.RouteRule([T.Route([], 4), T.Route(["pedestrian"], 1)], frame_interval=3)]
 SECONDS = 1.5
+#: Frame intervals 2, 3 and 4 to ports 1, 2 and 3; the branch of port 3 is routed again, by class.
+LEVELS = [T.RouteRule([T.Route([], port)], frame_interval=every) for port, every in ((1, 2), (2, 3), (3, 4))]
+AGAIN, AGAIN_PORT = [T.RouteRule([T.Route(["pedestrian", "turnstile"], 1), T.Route(["sedan", "lorry"], 2)])], 3
 
 
 def _routed(spark, d):
@@ -58,13 +61,38 @@ def converge_strict(spark, d):
 
 
 def converge_nested(spark, d):
-    """Second-level branches (three parts of each routed row) join their parent, which joins its frame."""
+    """Three parts of each routed row join their parent, which joins its frame; all of them arrive (`converge_levels`: not all)."""
     routed = _routed(spark, d).withColumn("path", F.array("frame_id", "sub_id", "port"))
     inner = routed.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("path", F.concat("path", F.array(F.col("part").cast("long"))))
     parents = inner.groupBy("task_id", T.nested_parent(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n")).where("n = 3")
     return parents.groupBy("task_id", F.col("path")[0].alias("frame_id")).agg(F.count(F.lit(1)).alias("branches"))
 
 
+def _two_levels(spark, d, strict):
+    """Frames complete on both levels; second-level results of port 2 on frames divisible by 7 are missing."""
+    frames, names = D.frames(spark, d, "eos"), D.class_names(spark, d)
+    det = D.detections(spark, d, "class_id")
+    outer = T.route(frames, det, names, LEVELS, FRAME, STREAM)
+    again = frames.join(outer.where(F.col("port") == AGAIN_PORT), FRAME, "left_semi")
+    inner = T.route(again, det, names, AGAIN, FRAME, STREAM)
+    back = inner.where("not (port = 2 and frame_id % 7 = 0)")
+    joined = T.converge(T.branch_counts(again, inner, FRAME), back, FRAME, STREAM, strict=strict)
+    arrived = outer.where(F.col("port") != AGAIN_PORT).select(*FRAME).unionByName(joined.select(*FRAME))
+    full = T.converge(T.branch_counts(frames, outer, FRAME), arrived, FRAME, STREAM, strict=strict)
+    return full.join(joined.select(*FRAME, F.col("branches").alias("parts")), FRAME, "left").select(*FRAME, "branches", F.coalesce("parts", F.lit(0)).alias("parts"))
+
+
+def converge_levels(spark, d):
+    """Two levels of routing: the results of the second join their branch, complete branches join their frame."""
+    return _two_levels(spark, d, strict=False)
+
+
+def pipeline_levels(spark, d):
+    """Two levels of routing, of convergence in order, and the area rule over complete frames."""
+    kept = R.in_areas(D.detections(spark, d, "x", "y", "w", "h"), [AREA])
+    return _two_levels(spark, d, strict=True).join(kept.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n_boxes")), FRAME)
+
+
 def zip_stitch(spark, d):
     f = D.frames(spark, d, "width", "height")
     left, right = f.where("frame_id % 2 = 0"), f.where("frame_id % 4 = 0")
@@ -251,7 +279,7 @@ def pipeline_tripwire(spark, d):
 
 
 def pipeline_structured(spark, d):
-    """Two levels of routing, convergence and the area rule over complete frames."""
+    """One level of routing whose branches all come back, and the area rule over the frames; `pipeline_levels` has two levels."""
     frames, det = D.frames(spark, d), D.detections(spark, d)
     routed = T.route(frames, det, D.class_names(spark, d), ROUTES, FRAME, STREAM)
     full = T.converge(T.branch_counts(frames, routed, FRAME), routed, FRAME, STREAM)
@@ -269,6 +297,19 @@ gt as (select bc.*, cast(coalesce(g, 0) as int) as received from bc left join (s
 """
 
 
+_LEVELS = """, sb as (select task_id, frame_id, det_idx, class_name from det left join cn using (class_id)),
+o as (select task_id, frame_id, port from fr, (values (1, 2), (2, 3), (3, 4)) v(port, every) where frame_id % every = 0 or coalesce(eos, false)),
+i as (select task_id, frame_id, case when class_name in ('pedestrian','turnstile') then 1 else 2 end as part from sb join (select task_id, frame_id from o where port = 3) using (task_id, frame_id) where class_name in ('pedestrian','turnstile','sedan','lorry')),
+ib as (select o.task_id, o.frame_id, cast(count(part) as int) as parts, count(part) filter (not (part = 2 and i.frame_id % 7 = 0)) as got from o left join i on i.task_id = o.task_id and i.frame_id = o.frame_id where port = 3 group by all),
+ist as (select task_id, min(frame_id) as stall from ib where got <> parts group by task_id),
+ic as (select ib.* from ib left join ist using (task_id) where {inner}),
+oc as (select fr.task_id, fr.frame_id, (select count(*) from o where o.task_id = fr.task_id and o.frame_id = fr.frame_id) as n,
+  (select count(*) from o where o.task_id = fr.task_id and o.frame_id = fr.frame_id and port <> 3) + (select count(*) from ic where ic.task_id = fr.task_id and ic.frame_id = fr.frame_id) as got from fr),
+ost as (select task_id, min(frame_id) as stall from oc where got <> n group by task_id),
+fu as (select oc.task_id, oc.frame_id, cast(n as int) as branches, coalesce(parts, 0) as parts from oc left join ic on ic.task_id = oc.task_id and ic.frame_id = oc.frame_id left join ost on ost.task_id = oc.task_id where {outer})
+"""
+
+
 def _nms_sql(shift: str, plus: int) -> str:
     p = f"+{plus}" if plus else ""
     def cut(a, s, k="k"):
@@ -305,6 +346,7 @@ select task_id, frame_id from go where fire""",
     "converge": WITH + _SUB + "select task_id, frame_id, branches from gt where received = branches",
     "converge_strict": WITH + _SUB + "select task_id, frame_id, branches from gt left join (select task_id, min(frame_id) as stall from gt where received <> branches group by task_id) using (task_id) where stall is null or frame_id < stall",
     "converge_nested": WITH + _SUB + "select task_id, frame_id, count(*) as branches from routed group by all",
+    "converge_levels": WITH + _LEVELS.format(inner="got = parts", outer="oc.got = n") + "select task_id, frame_id, branches, parts from fu",
     "zip_stitch": WITH + """, l as (select *, row_number() over (partition by task_id order by frame_id) as i from fr where frame_id % 2 = 0), r as (select *, row_number() over (partition by task_id order by frame_id) as i from fr where frame_id % 4 = 0)
 select l.task_id, l.frame_id, l.width + r.width as width, greatest(l.height, r.height) as height from l join r on l.task_id = r.task_id and l.i = r.i and l.frame_id = r.frame_id""",
     "zip_blend": WITH + """, l as (select *, row_number() over (partition by task_id order by frame_id) as i from fr where frame_id % 2 = 0), r as (select *, row_number() over (partition by task_id order by frame_id) as i from fr where frame_id % 2 = 1)
@@ -361,5 +403,6 @@ select task_id, min(ts) as session_start, count(*) as n_frames from g group by t
     "events_funnel": "select event_type, count(*) as n, count(distinct user_id) as users, round(sum(value), 2) as total from events group by event_type",
     "pipeline_tripwire": WITH + f"select task_id, frame_id, count(*) as n_boxes, max(score) as best from det join (select task_id, frame_id from fr where frame_id % 2 = 0 or coalesce(eos, false)) using (task_id, frame_id) where class_id in ({','.join(map(str, CLASSES))}) and {_sql_area(WIRE)} group by all",
     "pipeline_structured": WITH + _SUB + f"select bc.task_id, bc.frame_id, branches, n_boxes from bc join (select task_id, frame_id, count(*) as n_boxes from det where {_sql_area(AREA)} group by all) k on k.task_id = bc.task_id and k.frame_id = bc.frame_id",
+    "pipeline_levels": WITH + _LEVELS.format(inner="stall is null or frame_id < stall", outer="stall is null or oc.frame_id < stall") + f"select task_id, frame_id, branches, parts, n_boxes from fu join (select task_id, frame_id, count(*) as n_boxes from det where {_sql_area(AREA)} group by all) k using (task_id, frame_id)",
 }
 QUERIES = {k: globals()[k] for k in ORACLE}

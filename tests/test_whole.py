@@ -23,3 +23,15 @@ def test_frames_without_time_keep_their_place(spark):
     f = S.carry_time(spark.createDataFrame(rows, "task_id long, frame_id long, ts timestamp_ntz"), ["task_id"], "ts", "frame_id")
     got = S.number_frames(f, ["task_id"], [F.col("ts").asc_nulls_first(), "frame_id"]).collect()
     assert {(r.task_id, r.frame_id): r.frame_no for r in got} == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 3, (2, 5): 0, (2, 7): 1}
+
+
+def test_two_levels_leave_out_incomplete_frames(spark):
+    q = registry.queries()
+    full = q["converge_levels"](spark, SMALL)
+    frames = D.frames(spark, SMALL, "eos")
+    out = frames.join(full, D.FRAME, "left_anti")
+    assert out.count() > 0 and out.where("frame_id % 7 <> 0").count() == 0
+    lost = D.detections(spark, SMALL, "class_id").join(D.class_names(spark, SMALL).where("class_name in ('sedan', 'lorry')"), "class_id")
+    assert out.join(lost, D.FRAME, "left_anti").count() == 0
+    assert full.where("branches = 3 and parts > 0").count() > 0
+    assert q["pipeline_levels"](spark, SMALL).join(full, D.FRAME, "left_anti").count() == 0
