@@ -13,6 +13,8 @@ from strandline.sources import domain as D
 from strandline.sources.tables import table
 
 XYWH = ("x", "y", "w", "h")
+#: A threshold for each of the 64 classes of a vector.
+LIMITS = [round(0.014 + 0.0001 * (i % 32), 4) for i in range(64)]
 
 
 def rotated_boxes(spark, d):
@@ -35,21 +37,41 @@ def clockwise_corners(spark, d):
 
 
 def disparity_bytes(spark, d):
+    """The first 8 elements, scaled among themselves; `disparity_bytes_all` takes the whole vector."""
     v = A.scale_to_byte(F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double"), 4)))
     return table(spark, d, "embeddings").select("vec_id", *[v[i].alias(f"b{i}") for i in range(8)])
 
 
+def disparity_bytes_all(spark, d):
+    v = A.scale_to_byte(F.transform("embedding", lambda x: F.round(x.cast("double"), 4)))
+    return table(spark, d, "embeddings").select("vec_id", v.alias("bytes"))
+
+
 def lut_map(spark, d):
     v = O.look_up(F.array(F.col("det_idx") % 256, F.abs(F.col("x")) % 256, F.col("w")), [255 - i for i in range(256)])
     return D.detections(spark, d, *XYWH).select(*DK, v[0].alias("a"), v[1].alias("b"), v[2].alias("c"))
 
 
+def _task():
+    return F.element_at(F.array(F.lit("FeatureExtract"), F.lit("SingleLabel"), F.lit("MultiLabel")), (F.col("vec_id") % 3 + 1).cast("int"))
+
+
 def classify_tasks(spark, d):
-    task = F.element_at(F.array(F.lit("FeatureExtract"), F.lit("SingleLabel"), F.lit("MultiLabel")), (F.col("vec_id") % 3 + 1).cast("int"))
-    c = O.classify(F.slice("embedding", 1, 4), task, [0.2, 0.25, 0.28, 0.3])
+    """The first 4 classes; `classify_tasks_all` takes the whole vector."""
+    c = O.classify(F.slice("embedding", 1, 4), _task(), [0.2, 0.25, 0.28, 0.3])
     return table(spark, d, "embeddings").select("vec_id", c.alias("c")).select("vec_id", "c.label", F.round("c.score", 6).alias("score"), F.col("c.labels")[1].alias("second"))
 
 
+def classify_tasks_all(spark, d):
+    c = O.classify(F.col("embedding"), _task(), LIMITS)
+    return table(spark, d, "embeddings").select("vec_id", c.alias("c")).select("vec_id", "c.label", F.round("c.score", 6).alias("score"), "c.labels")
+
+
+def multilabel_all(spark, d):
+    """As `multilabel`, over all 64 classes."""
+    return table(spark, d, "embeddings").select("vec_id", A.multi_label(F.col("embedding"), LIMITS).alias("labels"))
+
+
 def interval_list(spark, d):
     v = O.merged_intervals(F.collect_list("sample_interval"))
     return table(spark, d, "yolox_demo").groupBy("demo_id").agg(v.alias("v")).select("demo_id", F.size("v").alias("n"), F.try_element_at("v", F.lit(1)).alias("least"))
@@ -111,13 +133,17 @@ def _corner(sa: str, sb: str, axis: str) -> str:
 
 
 _SM = "list_transform(cast(embedding[1:4] as double[]), lambda x: exp(x))"
+_ALL = f"with e as (select vec_id, list_transform(cast(embedding as double[]), lambda x: exp(x)) as v, cast({LIMITS} as double[]) as t from embeddings), p as (select vec_id, v, list_sum(v) as s, list_transform(range(1, 65), lambda i: cast(v[i] / list_sum(v) > t[i] as int)) as m from e) "
 ORACLE = {
     "rotated_boxes": WITH + ", q as (select *, (det_idx % 8) * 0.4 as r from det) select task_id, frame_id, det_idx, " + ", ".join(f"{_corner(a, b, ax)} as {ax}{i}" for i, (a, b) in enumerate([("+", "+"), ("+", "-"), ("-", "-"), ("-", "+")], 1) for ax in "xy") + " from q",
     "regular_angles": WITH + f"select task_id, frame_id, det_idx, greatest(w, h) as long_side, least(w, h) as short_side, round(({_ANG}) - 3.141592653589793 * floor(({_ANG}) / 3.141592653589793), 6) as angle from det",
     "clockwise_corners": WITH + "select task_id, frame_id, det_idx, x+1 as x0, y as y0, x+w+1 as x1, y as y1, x+w as x2, y+h as y2, x as x3, y+h+1 as y3 from det where w > 1 and h > 0 union all select task_id, frame_id, det_idx, x+1, y, x+w+1, y, x+w, y+h, x, y+h+1 from det where w = 1 and h > 0",
     "disparity_bytes": "with v as (select vec_id, list_transform(cast(embedding[1:8] as double[]), lambda x: round(x, 4)) as v from embeddings) select vec_id, " + ", ".join(f"cast(trunc((v[{i + 1}] - list_min(v)) / (list_max(v) - list_min(v)) * 255) as int) as b{i}" for i in range(8)) + " from v",
+    "disparity_bytes_all": "with v as (select vec_id, list_transform(cast(embedding as double[]), lambda x: round(x, 4)) as v from embeddings), b as (select vec_id, v, list_min(v) as lo, list_max(v) as hi from v) select vec_id, list_transform(v, lambda x: case when hi > lo then cast(trunc((x - lo) / (hi - lo) * 255) as int) else 0 end) as bytes from b",
     "lut_map": WITH + "select task_id, frame_id, det_idx, 255 - det_idx % 256 as a, 255 - abs(x) % 256 as b, case when w between 0 and 255 then 255 - w end as c from det",
     "classify_tasks": f"with e as (select vec_id, {_SM} as v from embeddings) select vec_id, case when vec_id % 3 = 1 then cast(list_position(v, list_max(v)) - 1 as int) end as label, case when vec_id % 3 = 1 then round(list_max(v) / list_sum(v), 6) end as score, case when vec_id % 3 = 2 then cast(v[2] / list_sum(v) > 0.25 as int) end as second from e",
+    "classify_tasks_all": _ALL + "select vec_id, case when vec_id % 3 = 1 then cast(list_position(v, list_max(v)) - 1 as int) end as label, case when vec_id % 3 = 1 then round(list_max(v) / s, 6) end as score, case when vec_id % 3 = 2 then m end as labels from p",
+    "multilabel_all": _ALL + "select vec_id, m as labels from p",
     "interval_list": "select demo_id, cast(count(distinct sample_interval) as int) as n, min(sample_interval) as least from yolox_demo group by demo_id",
     "track_as_of": WITH + ", t as (select distinct task_id, frame_id from tr), e as (select task_id, frame_id, max(error_code) as error_code from fr where error_code <> 0 group by all) select t.task_id, t.frame_id, e.error_code as as_of from t asof left join e on t.task_id = e.task_id and t.frame_id >= e.frame_id",
     "set_intersect": WITH + "select task_id, frame_id from tr intersect select task_id, frame_id from det where class_id = 0",

@@ -184,6 +184,7 @@ def softmax_top1(spark, d):
 
 
 def multilabel(spark, d):
+    """The first 4 classes; `multilabel_all` takes the whole vector."""
     m = A.multi_label(F.slice("embedding", 1, 4), [0.2, 0.25, 0.28, 0.3])
     return table(spark, d, "embeddings").select("vec_id", *[m[i].alias(f"m{i}") for i in range(4)])
 

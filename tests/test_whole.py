@@ -35,3 +35,13 @@ def test_two_levels_leave_out_incomplete_frames(spark):
     assert out.join(lost, D.FRAME, "left_anti").count() == 0
     assert full.where("branches = 3 and parts > 0").count() > 0
     assert q["pipeline_levels"](spark, SMALL).join(full, D.FRAME, "left_anti").count() == 0
+
+
+def test_whole_vectors_are_read(spark):
+    q = registry.queries()
+    for name, col in (("disparity_bytes_all", "bytes"), ("multilabel_all", "labels"), ("classify_tasks_all", "labels")):
+        rows = [r[col] for r in q[name](spark, SMALL).collect() if r[col] is not None]
+        assert rows and {len(r) for r in rows} == {64}
+        assert any(r[63] != rows[0][63] for r in rows)
+    assert q["classify_tasks_all"](spark, SMALL).where("label > 3").count() > 0
+    assert q["disparity_bytes_all"](spark, SMALL).where("array_min(bytes) <> 0 or array_max(bytes) <> 255").count() == 0
