@@ -45,3 +45,14 @@ def test_whole_vectors_are_read(spark):
         assert any(r[63] != rows[0][63] for r in rows)
     assert q["classify_tasks_all"](spark, SMALL).where("label > 3").count() > 0
     assert q["disparity_bytes_all"](spark, SMALL).where("array_min(bytes) <> 0 or array_max(bytes) <> 255").count() == 0
+
+
+def test_every_table_is_written_and_typed(spark):
+    q = registry.queries()
+    got = q["p5_tables"](spark, SMALL).cache()
+    keys = ["record_id", "parent_path", "node_path"]
+    assert sorted(map(tuple, got.select(*keys).collect())) == sorted(map(tuple, q["p5_found"](spark, SMALL).select(*keys).collect()))
+    box = ["record_id", "node_path", "mX", "mY", "mWidth", "mHeight"]
+    assert got.where("tag = 'box'").select(*box).exceptAll(q["p5_boxes"](spark, SMALL).select(*box)).count() == 0
+    filled = {r.tag for r in got.where("coalesce(mFrameId, mX, mClassify, mSubId) is not null").select("tag").distinct().collect()}
+    assert {"frame", "box", "detection"} <= filled
