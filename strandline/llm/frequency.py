@@ -31,10 +31,10 @@ def record_total(df: DataFrame, term: Column, record: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.lit(1).alias("__one")).agg(F.count(F.lit(1)).alias("total"))
 
 
-def mark_terms(freq: DataFrame, total: DataFrame, rare_below: int = 5, common_above: float = 0.25) -> DataFrame:
-    """Adds total and mark: 'rare' below `rare_below` records, else 'common' above that share of the field's records, else null.
+def mark_terms(freq: DataFrame, total: DataFrame, rare_below: int = 5, common_above: float = 0.25, fewest: int = 1) -> DataFrame:
+    """Adds total and mark: 'rare' below `rare_below` records or `fewest` occurrences, else 'common' above that share of the field's records, else null.
 
     Both sides name their field in field_name; `total` has one row for each field.
     """
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.col("total") * common_above, "common")
+    mark = F.when((F.col("records") < rare_below) | (F.col("occurrences") < fewest), "rare").when(F.col("records") > F.col("total") * common_above, "common")
     return freq.join(F.broadcast(total), "field_name").withColumn("mark", mark)

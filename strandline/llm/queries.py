@@ -52,7 +52,7 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Every term with its occurrences, records, the records of its field and its mark."""
+    """Every term with its occurrences, records, the records of its field and its mark, under the same bound on both counts."""
     boxes, demo = table(spark, d, "detected_objects"), table(spark, d, "yolox_demo")
     parts = [
         ("mclassify", boxes, F.col("mclassify"), ["task_id", "mframeid"], ["det_idx"]),
@@ -60,7 +60,7 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     ]
     freq = [frequency.term_frequencies(t, c, r, o).withColumn("field_name", F.lit(n)) for n, t, c, r, o in parts]
     total = [frequency.record_total(t, c, r).withColumn("field_name", F.lit(n)) for n, t, c, r, _ in parts]
-    marked = frequency.mark_terms(freq[0].unionByName(freq[1]), total[0].unionByName(total[1]), RARE_BELOW, COMMON_ABOVE)
+    marked = frequency.mark_terms(freq[0].unionByName(freq[1]), total[0].unionByName(total[1]), RARE_BELOW, COMMON_ABOVE, RARE_BELOW)
     return marked.select("field_name", "term", "occurrences", "records", F.col("total").alias("field_records"), "mark")
 
 

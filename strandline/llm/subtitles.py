@@ -14,24 +14,31 @@ from functools import lru_cache
 
 _CONT = "".join(sorted({bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xC0)} | {chr(b) for b in range(0x80, 0xC0)}))
 _CONT = re.escape(_CONT)
-#: UTF-8 bytes shown as single characters: a lead byte and the right number of continuation bytes.
-_WRONG = re.compile(f"[\xc2-\xdf][{_CONT}]|[\xe0-\xef][{_CONT}]{{2}}|[\xf0-\xf4][{_CONT}]{{3}}")
-_LOST = re.compile("[\xc2-\xc5\ufffd]\ufffd")
+#: UTF-8 bytes shown as single characters: a lead byte and continuation bytes, of which `_from` takes as many as the lead asks for.
+_WRONG = re.compile(f"[\xc2-\xf4][{_CONT}]{{1,3}}")
+_LOST = re.compile("[\xc2-\xc5�]�")
 _BYTE = {bytes([b]).decode("cp1252", "ignore"): b for b in range(0x80, 0x100)} | {chr(b): b for b in range(0x80, 0x100)}
 _BYTE.pop("", None)
 #: The same bytes shown as Cyrillic. Its small and capital yo stand in real words too, so they need a Latin letter beside.
 _BYTE_1251 = {bytes([b]).decode("cp1251", "ignore"): b for b in range(0x80, 0x100)} | {"\x98": 0x98}
 _BYTE_1251.pop("", None)
 _CONT_1251 = re.escape("".join(c for c, b in _BYTE_1251.items() if b < 0xC0 and c not in "ёЁ"))
-_WRONG_1251 = re.compile(f"[В-Я][{_CONT_1251}]|[а-п][{_CONT_1251}]{{2}}|(?<=[a-zA-Z])Г[ёЁ]|Г[ёЁ](?=[a-zA-Z])")
+_WRONG_1251 = re.compile(f"[В-п][{_CONT_1251}]{{1,2}}")
+_YO_1251 = re.compile("(?<=[a-zA-Z])Г[ёЁ]|Г[ёЁ](?=[a-zA-Z])")
 
-_TIMED = re.compile(r"(?m)(?:^[ \t\ufeff]*[0-9lIOoSBZiz|gqDQ#]{1,7}[ \t]*\r?\n)?^[^\n]*-->[^\n]*$")
-_HEADER = re.compile(r"^\ufeff?\s*WE[B8]VTT[^\n]*")
+_TIMED = re.compile(r"(?m)(?:^[ \t﻿]*[0-9lIOoSBZiz|gqDQ#]{1,7}[ \t]*\r?\n)?^[^\n]*-->[^\n]*$")
+_HEADER = re.compile(r"^﻿?\s*WE[B8]VTT[^\n]*")
 #: The fields before a line's text; their commas may be misread as stops or quotes.
-_ASS = re.compile(r"(?m)^\ufeff?[^\s:]{5,12}:[^\n]{20,60}?[,.'’]+[0oOQ][,.'’]+[0oOQ][,.'’]+[0oOQ][,.'’]{1,2}")
-_SOUND = re.compile(r"\[[^\[\]]{0,120}\]|\([^()]{0,120}\)|♪[^♪\n]{0,120}♪|🎵[^🎵\n]{0,120}🎵|(?m:^[ \t-]*\*[^*\n]{1,80}\*[ \t\r]*$)|\*[a-zA-Z][^*\n]{1,60}\*|(?m:^[ \t-]*[?#][ \t][^?#\n]{0,60}[?#][ \t\r]*$)")
-_BRACES = re.compile(r"\{[^{}\n]{0,80}\}")
-_TAG = re.compile(r"<[^<>\n]{0,120}>")
+_ASS = re.compile(r"(?m)^﻿?[^\s:]{5,}+:[^\n]{20,}?(?<![,.'’])[,.'’]++[0oOQ][,.'’]++[0oOQ][,.'’]++[0oOQ][,.'’]{1,2}")
+#: Frame numbers before a cue of one line.
+_FRAMES = re.compile(r"(?m)^﻿?\{\d+\}\{\d+\}")
+#: Sound descriptions: between brackets up to the end of the cue (an empty line), between other marks up to the end of the line.
+_IN_BRACKETS = re.compile(r"\[[^\[\]\n]*+(?:\n(?![ \t]*\n)[^\[\]\n]*+)*+\]|\([^()\n]*+(?:\n(?![ \t]*\n)[^()\n]*+)*+\)")
+_IN_NOTES = re.compile(r"♪[^♪\n]*♪|🎵[^🎵\n]*🎵")
+_IN_STARS = re.compile(r"(?m:^[ \t-]*\*[^*\n]+\*[ \t\r]*$)|\*[a-zA-Z][^*\n]+\*")
+_IN_OTHER = re.compile(r"(?m)^[ \t-]*[?#][ \t][^?#\n]*[?#][ \t\r]*$")
+_BRACES = re.compile(r"\{[^{}\n]*\}")
+_TAG = re.compile(r"<[^<>\n]*>")
 _BREAK = re.compile(r"\\[NnhH]|\|")
 _NUMBER_LINE = re.compile(r"(?m)^[\W\d_]+$")
 #: Apart from letters and digits, characters that stand for a letter in misread or lost text.
@@ -40,8 +47,10 @@ _NOT_WORD = re.compile(r"[^\w+#\ufffd]|_")
 
 def _from(table: dict[str, int]):
     def put_right(m: re.Match) -> str:
+        whole = bytes(table[c] for c in m[0])
+        n = 2 if whole[0] < 0xE0 else 3 if whole[0] < 0xF0 else 4
         try:
-            return bytes(table[c] for c in m[0]).decode()
+            return whole[:n].decode() + m[0][n:]
         except UnicodeDecodeError:
             return m[0]
 
@@ -52,16 +61,18 @@ _from_1252, _from_1251 = _from(_BYTE), _from(_BYTE_1251)
 
 
 def repair(text: str) -> str:
-    """Undoes UTF-8 read as a one-byte encoding, also where it happened more than once."""
-    for _ in range(3):
+    """Undoes UTF-8 read as a one-byte encoding, as often as it happened; every round shortens the text."""
+    while True:
         fixed = _WRONG_1251.sub(_from_1251, _WRONG.sub(_from_1252, text))
+        if "Г" in fixed:
+            fixed = _YO_1251.sub(_from_1251, fixed)
         if fixed == text:
-            break
+            return _LOST.sub("\ufffd", text) if "\ufffd" in text else text
         text = fixed
-    return _LOST.sub("\ufffd", text)
 
 
-def spoken_words(text: str | None) -> list[str]:
+def spoken_parts(text: str | None) -> list[str]:
+    """What blanks part in the speech of a file; `plain` makes words of it, or nothing of parts without letter or digit."""
     if not text:
         return []
     if not text.isascii():
@@ -74,16 +85,26 @@ def spoken_words(text: str | None) -> list[str]:
     if "-->" in text:
         text = _TIMED.sub("\n", text)
     if "0,0" in text:  # some line of such a file has it whole
-        text = _ASS.sub("", text)
+        text = _ASS.sub("\n", text)
     if "{" in text:
-        text = _BRACES.sub("", text)
+        text = _BRACES.sub("", _FRAMES.sub("\n", text))
     if "\\" in text or "|" in text:
         text = _BREAK.sub("\n", text)
     if "<" in text:
         text = _TAG.sub("", text)
-    text = _SOUND.sub(" ", text)
-    text = _NUMBER_LINE.sub(" ", text)
-    return [w for w in map(plain, text.split()) if w]
+    if "[" in text or "(" in text:
+        text = _IN_BRACKETS.sub(" ", text)
+    if "♪" in text or "🎵" in text:
+        text = _IN_NOTES.sub(" ", text)
+    if "*" in text:
+        text = _IN_STARS.sub(" ", text)
+    if "?" in text or "#" in text:
+        text = _IN_OTHER.sub(" ", text)
+    return _NUMBER_LINE.sub(" ", text).split()
+
+
+def spoken_words(text: str | None) -> list[str]:
+    return [w for w in map(plain, spoken_parts(text)) if w]
 
 
 def plain(word: str) -> str:
@@ -110,59 +131,86 @@ for _c in map(chr, range(0xC0, 0x250)):
     _b = unicodedata.normalize("NFD", _c.lower())[0]
     if _b.isascii():
         _ACCENTS.setdefault(_b, set()).add(_c.lower())
-_SKELETON = str.maketrans({"t": "t", "f": "t", "+": "t", "7": "t", "k": "k", "p": "p", "x": "x", "s": "s", "z": "s", "5": "s", "2": "s"} | {c: "" for c in "abcdeghijlmnoqruvwy0134689#\ufffd"})
 
 
-def skeleton(word: str) -> str:
-    """What misreading leaves as it was: the order of the few letters that keep apart. Spoilt and sound forms share it.
+@lru_cache(10_000)
+def ways(c: str) -> tuple[str, ...]:
+    """What may stand for a letter: itself, misread, with its accent changed, or lost to wrong decoding; the longest first."""
+    base = unicodedata.normalize("NFD", c)[0] if c > "\x7f" else c
+    forms = {c, base, "#", "\ufffd", *_TWICE.get(base, ()), *_ACCENTS.get(base, ())}
+    if c in "øßæœ":
+        forms |= {"o", "ss", "ae", "oe", "0", "b", "8"}
+    return tuple(sorted(forms, key=lambda w: (-len(w), w)))
 
-    l may turn to 7 and s to 8; such words also have the forms that `skeletons` lists.
-    """
-    base = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
-    return "".join(c for c in base.translate(_SKELETON) if c in "tkpxs" or ord(c) >= 0x250)
 
+class Node:
+    """A prefix of some terms: letters that go on, the term that ends here, and the steps by their first character."""
 
-def skeletons(word: str) -> set[str]:
-    forms = {word}
-    for digit, kinds in (("8", "s"), ("7", "l"), ("z", "z"), ("2", "z")):
-        forms |= {f.replace(digit, k) for f in forms for k in kinds if digit in f}
-    return {skeleton(f) for f in forms}
+    __slots__ = ("on", "term", "steps", "skips")
 
+    def __init__(self):
+        self.on: dict[str, Node] = {}
+        self.term = 0
+        self.steps: dict[str, list[tuple[str, Node]]] | None = None
+        self.skips: list[Node] = []
 
-def spoilt_forms(word: str) -> re.Pattern:
-    """Matches the forms of `word` with any of its letters misread, accents changed, or letters lost to wrong decoding."""
-    out = []
-    for c in word:
-        base = unicodedata.normalize("NFD", c)[0] if c > "\x7f" else c
-        ways = {c, base, "#", "\ufffd", *_TWICE.get(base, ()), *_ACCENTS.get(base, ())}
-        if c in "øßæœ":
-            ways |= {"o", "ss", "ae", "oe", "0", "b", "8"}
-        piece = "|".join(map(re.escape, sorted(ways, key=len, reverse=True)))
-        out.append(f"(?:{piece})" + ("?" if c > "\x7f" else ""))
-    return re.compile("".join(out))
+    def prepare(self) -> dict:
+        self.steps = {}
+        for c, child in self.on.items():
+            for w in ways(c):
+                self.steps.setdefault(w[0], []).append((w, child))
+        self.skips = [child for c, child in self.on.items() if c > "\x7f"]
+        return self.steps
 
 
 class Vocabulary:
-    """Ids of known words; `resolve` gives a word's own and those whose spoilt form it may be, known word or not."""
+    """Ids of known words; `resolve` gives a word's own and those whose spoilt form it may be, known word or not.
+
+    Each letter of a term stands in one of its `ways`, letters with an accent may be missing. The terms are a trie, through
+    which a word goes on all ways at once, so terms that part from it are left at the letter where they do.
+    """
 
     REMEMBER = 400_000
 
-    def __init__(self, words: list[str]):
-        self.ids = {w: i + 1 for i, w in enumerate(words)}
-        self.buckets: dict[str, list[tuple[int, re.Pattern]]] = {}
-        for w, i in self.ids.items():
-            self.buckets.setdefault(skeleton(w), []).append((i, spoilt_forms(w)))
-        self.all = [x for b in self.buckets.values() for x in b]
+    def __init__(self, words):
+        self.root = Node()
         self.known: dict[str, tuple[int, ...]] = {}
+        for i, w in enumerate(words):
+            node = self.root
+            for c in w:
+                node = node.on.setdefault(c, Node()) if c not in node.on else node.on[c]
+            node.term = i + 1
         self.longest = 2 * max(map(len, words), default=0)  # a letter is misread as two at most
 
     def resolve(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None and len(word) > self.longest:
+        if len(word) > self.longest:
             return ()
+        found = self.known.get(word)
         if found is None:
             if len(self.known) > self.REMEMBER:
                 self.known = {}
-            some = self.all if "#" in word or "\ufffd" in word else [x for s in skeletons(word) for x in self.buckets.get(s, ())]
-            found = self.known[word] = tuple(dict.fromkeys(i for i, x in some if x.fullmatch(word)))
+            found = self.known[word] = self._search(word)
         return found
+
+    def _search(self, word: str) -> tuple[int, ...]:
+        found, end = set(), len(word)
+        states = [(self.root, 0)]
+        seen = set()
+        while states:
+            node, at = states.pop()
+            steps = node.prepare() if node.steps is None else node.steps
+            if at == end:
+                if node.term:
+                    found.add(node.term)
+            else:
+                for w, child in steps.get(word[at], ()):
+                    if len(w) == 1 or word.startswith(w, at):
+                        state = (child, at + len(w))
+                        if state not in seen:
+                            seen.add(state)
+                            states.append(state)
+            for child in node.skips:
+                if (child, at) not in seen:
+                    seen.add((child, at))
+                    states.append((child, at))
+        return tuple(sorted(found))

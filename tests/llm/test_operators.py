@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -248,11 +249,15 @@ def test_leaks(spark):
     assert leaks(spark, texts) == {(i, 9) for i in (0, 1, 4, 5, 7, 8, 9, 10, 11)}
 
 
+def spoilt_forms(word):
+    return re.compile("".join(f"(?:{'|'.join(map(re.escape, subtitles.ways(c)))})" + ("?" if c > "\x7f" else "") for c in word))
+
+
 def test_known_words_may_be_spoilt_forms():
     words = ["boat", "boot", "can", "con", "if", "it", "que", "qué", "gate"]
     v = subtitles.Vocabulary(words)
     got = {w: {words[i - 1] for i in v.resolve(w)} for w in words}
-    assert got == {w: {x for x in words if subtitles.spoilt_forms(x).fullmatch(w)} for w in words}
+    assert got == {w: {x for x in words if spoilt_forms(x).fullmatch(w)} for w in words}
     assert got["boot"] == {"boot", "boat"} and got["gate"] == {"gate"}
 
 
@@ -266,7 +271,6 @@ def test_leak_with_a_word_of_another_item(spark):
 
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 10)
-    monkeypatch.setattr(leakage.item_blocks, "__defaults__", (10,))
     assert leaks(spark, [srt(ITEM.split())]) == {(0, 9)}
 
 
@@ -277,22 +281,55 @@ def test_leaks_of_nothing(spark):
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0
 
 
-def test_search_equals_brute_force():
+def test_search_equals_brute_force(monkeypatch):
     rng = np.random.default_rng(4)
     docs = [rng.integers(1, 4, rng.integers(0, 60)) for _ in range(40)]
-    items = [rng.integers(1, 4, 12).tolist() for _ in range(6)] + [[5] * 12]
+    items = [rng.integers(1, 4, 12).tolist() for _ in range(6)] + [[5] * 12, rng.integers(1, 4, 40).tolist()]
     term, doc, place = (np.concatenate(x).astype(np.int32) for x in zip(*[(d, np.full(len(d), i), np.arange(len(d))) for i, d in enumerate(docs)]))
     shard = leakage.Shard(*leakage.postings(term, doc, place))
     counts = dict(zip(*[x.tolist() for x in np.unique(term, return_counts=True)]))
-    for t in items:
-        order = sorted(range(12), key=lambda p: (counts.get(t[p], 0), p))
-        got = leakage.search_item(shard, t, sorted(leakage.anchors(t, counts, 5)), order, 5).tolist()
-        windows = {tuple(t[i : i + 5]) for i in range(8)}
-        assert got == [i for i, x in enumerate(docs) if windows & {tuple(x[j : j + 5]) for j in range(len(x) - 4)}]
-        near = leakage.search_item(shard, t, sorted(leakage.anchors(t, counts, 5, 1)), order, 5, 1).tolist()
-        # beyond a document's end there are no words, so a window may hang over by the words it may lack
-        padded = [[0, *x, 0] for x in docs]
-        assert near == [i for i, x in enumerate(padded) if any(sum(a == b for a, b in zip(w, x[j : j + 5])) >= 4 for w in windows for j in range(len(x) - 4))]
+    windows = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in items]
+    # beyond a document's end there are no words, so a window may hang over by the words it may lack
+    padded = [[0, *x, 0] for x in docs]
+    exact = {(i, j) for i, x in enumerate(docs) for j, w in enumerate(windows) if w & {tuple(x[p : p + 5]) for p in range(len(x) - 4)}}
+    near = {(i, j) for i, x in enumerate(padded) for j, ws in enumerate(windows) if any(sum(a == b for a, b in zip(w, x[p : p + 5])) >= 4 for w in ws for p in range(len(x) - 4))}
+    for cells in (1, 50, 2_000_000):
+        monkeypatch.setattr(leakage, "CELLS", cells)
+        for spare, want in ((0, exact), (1, near)):
+            block = leakage.Block([(j, t, [counts.get(x, 0) for x in t]) for j, t in enumerate(items)], 5, spare)
+            assert set(zip(*[x.tolist() for x in block.search(shard)])) == want
+
+
+def test_long_documents_and_items(spark, monkeypatch):
+    """Segments of documents and pieces of items overlap, so nothing is lost at their edges."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdegklmnoprstu") for _ in range(7)) for _ in range(300)]
+    filler = ["".join(rng.choice("vwxyz") for _ in range(7)) for _ in range(400)]
+    monkeypatch.setattr(leakage, "PIECE_WORDS", 50)
+    monkeypatch.setattr(leakage, "PAD", 50)
+    texts = [srt(filler[:at] + words[at : at + 16] + filler[at:]) for at in range(0, 280, 7)] + [srt(words[:15] + filler)]
+    assert leaks(spark, texts, " ".join(words), shard_words=37) == {(i, 9) for i in range(40)}
+
+
+def test_vocabulary_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "VOCABULARY_CHARS", 60)
+    other = "one boot is all my brother found when he walked along that river bed in late june again"
+    docs = spark.createDataFrame([(0, srt(ITEM.split())), (1, srt(other.split()))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (7, other)], "item_id long, text string")
+    assert {tuple(r) for r in leakage.find_leaks(docs, items).collect()} == {(0, 1), (1, 7)}
+
+
+def test_long_descriptions_are_left_out():
+    w = subtitles.spoken_words
+    long = "x" * 130 + " y" * 200
+    for text in (f"the [{long}] cat (sound {long}) on", f"the ♪{long}♪ cat on", f"the {{{long}}}cat <{long}>on", f"the *b{long}* cat on", f"the\n* {long} *\ncat on", f"the [{long}\n{long}] cat on"):
+        assert w(text) == ["the", "cat", "on"], text[:20]
+    assert w(f"Dialogue: 0,0:00:38.78,0:00:42.19,{'Style ' * 30},,0,0,0,,the cat on") == ["the", "cat", "on"]
+    assert w("1\n00:00:01,000 --> 00:00:02,000\nthe [cat\n\n2\n00:00:03,000 --> 00:00:04,000\non] it") == ["the", "cat", "on", "it"]  # not beyond the cue
+    deep = "fêlé"
+    for _ in range(6):
+        deep = deep.encode().decode("cp1252", "surrogateescape") if not any(b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) for b in deep.encode()) else deep
+    assert w(deep) == ["fêlé"]
 
 
 @pytest.mark.parametrize("docs,words", [(1, 10**9), (2, 10**9), (10**9, 50)])
