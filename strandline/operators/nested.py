@@ -29,6 +29,9 @@ _BLANK = " \t\r\n﻿"
 _TOKEN = re.compile(r"[ \t\r\n]*(?:([{}\[\],:])|(\")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null))")
 
 
+_encode = json.JSONEncoder(ensure_ascii=False, check_circular=False).encode
+
+
 def _refuse(name: str):
     raise ValueError(name)
 
@@ -107,9 +110,13 @@ def read_payload(text: str | None):
     return value if isinstance(value, dict) else None
 
 
-def visit(root: dict, payloads: bool = True) -> Iterator[tuple[str, str, str, str | None]]:
+def visit(root: dict) -> Iterator[tuple[str, str, str, str | None]]:
     """(tag, node path, parent path, payload) of every node, depth first in document order."""
-    dump = (lambda v, without: json.dumps({k: x for k, x in v.items() if k not in without} if isinstance(v, dict) else v, ensure_ascii=False)) if payloads else (lambda v, without: None)
+    def dump(value, without):
+        if without and isinstance(value, dict):
+            value = {k: x for k, x in value.items() if k not in without}
+        return _encode(value)
+
     stack = [(ROOT, "$", "", root)]
     while stack:
         tag, path, parent, value = stack.pop()
@@ -132,7 +139,7 @@ def visit(root: dict, payloads: bool = True) -> Iterator[tuple[str, str, str, st
         stack.extend(reversed(children))
 
 
-def emit_nodes(df: DataFrame, id_col: str = "record_id", payload_col: str = "payload", payloads: bool = True) -> DataFrame:
+def emit_nodes(df: DataFrame, id_col: str = "record_id", payload_col: str = "payload") -> DataFrame:
     """One tagged row for every node of every payload: record_id, tag, node_path, parent_path, payload. No shuffle."""
     names = ["record_id", "tag", "node_path", "parent_path", "payload"]
 
@@ -145,7 +152,7 @@ def emit_nodes(df: DataFrame, id_col: str = "record_id", payload_col: str = "pay
                 if root is None:
                     continue
                 rid = ids[i].as_py()
-                for tag, path, parent, body in visit(root, payloads):
+                for tag, path, parent, body in visit(root):
                     out[0].append(rid)
                     out[1].append(tag)
                     out[2].append(path)

@@ -102,10 +102,10 @@ def apply_rule(frames: DataFrame, det: DataFrame, rule: Rule, stream: list[str])
 
 def rule_mask(frames: DataFrame, det: DataFrame, rules: list[Rule], stream: list[str]) -> DataFrame:
     """Stream, frame_id, tag: bit i is set if rule i lets any detection of the frame through; frames of no rule are left out."""
-    hits = None
+    hits = frames.select(*stream, "frame_id", F.lit(0).alias("bit")).limit(0)
     for i, r in enumerate(rules):
         one = apply_rule(frames, det, r, stream).select(*stream, "frame_id", F.lit(1 << i).alias("bit"))
-        hits = one if hits is None else hits.unionByName(one)
+        hits = one if i == 0 else hits.unionByName(one)
     return hits.groupBy(*stream, "frame_id").agg(F.bit_or("bit").alias("tag"))
 
 

@@ -130,7 +130,7 @@ def iou_join(spark, d):
     a = D.detections(spark, d, "x", "y", "w", "h").select(*FRAME, *[F.col(c).alias(f"a_{c}") for c in ("det_idx", "x", "y", "w", "h")])
     b = D.detections(spark, d, "x", "y", "w", "h").select(*FRAME, *[F.col(c).alias(f"b_{c}") for c in ("det_idx", "x", "y", "w", "h")])
     v = iou(tuple(F.col(f"a_{c}") for c in "xywh"), tuple(F.col(f"b_{c}") for c in "xywh"), 1)
-    return a.join(b, FRAME).where("a_det_idx < b_det_idx").withColumn("iou", F.round(v, 6)).where("iou > 0.5").select(*FRAME, "a_det_idx", "b_det_idx", "iou")
+    return a.join(b, FRAME).where("a_det_idx < b_det_idx").withColumn("iou", v).where("iou > 0.5").select(*FRAME, "a_det_idx", "b_det_idx", F.round("iou", 6).alias("iou"))
 
 
 def nms_agnostic(spark, d):
@@ -357,7 +357,7 @@ select l.task_id, l.frame_id, r.frame_id as right_frame_id, cast(ceil((l.width +
     "knn_top1": f"select query_id, label, similarity from ({_KNN}) k join embeddings e on e.vec_id = k.vec_id qualify row_number() over (partition by query_id order by similarity desc, k.vec_id) = 1",
     "iou_join": WITH + """, p as (select a.task_id, a.frame_id, a.det_idx as a_det_idx, b.det_idx as b_det_idx, greatest(0.0, least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x) + 1) * greatest(0.0, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y) + 1) as i,
  cast(a.w+1 as double)*(a.h+1) + cast(b.w+1 as double)*(b.h+1) as s from det a join det b on a.task_id = b.task_id and a.frame_id = b.frame_id and a.det_idx < b.det_idx)
-select task_id, frame_id, a_det_idx, b_det_idx, round(i / (s - i), 6) as iou from p where s - i > 0 and round(i / (s - i), 6) > 0.5""",
+select task_id, frame_id, a_det_idx, b_det_idx, round(i / (s - i), 6) as iou from p where s - i > 0 and i / (s - i) > 0.5""",
     "nms_agnostic": _nms_sql("0", 0),
     "nms_class_aware": _nms_sql("coalesce(class_id, 0) * 7680", 0),
     "nms_face": _nms_sql("0", 1),

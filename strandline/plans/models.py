@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from strandline.plans.flows import SECONDS
 from strandline.plans.scans import WIRE, WITH, _sql_area
 from strandline.sources import domain as D
 from strandline.sources import sinks
-from strandline.sources.tables import shared_dir, table
+from strandline.sources.tables import shared_path, table
 from strandline.streaming import stateful
 
 FRAME, DK = D.FRAME, D.DET
@@ -145,7 +144,7 @@ def frame_stream(spark: SparkSession, d: str, name: str = "frames") -> DataFrame
 
 def run_stream(df: DataFrame, label: str) -> DataFrame:
     """Runs a streaming query over what its source holds now; its rows from the shared folder."""
-    root = f"{shared_dir(df.sparkSession)}/strandline-{label}-{uuid.uuid4().hex}"
+    root = shared_path(df.sparkSession, label)
     q = df.writeStream.format("parquet").option("path", root).option("checkpointLocation", f"{root}-state").trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(root)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import nested
-from strandline.sources.tables import shared_dir, table
+from strandline.sources.tables import shared_path, table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.emit_nodes(table(spark, d, "sink_frames"), payloads=False).select("record_id", "parent_path", "node_path")
+    """The links of all nodes, from the tagged rows with their payloads as `p5_tables` writes them."""
+    return nested.emit_nodes(table(spark, d, "sink_frames")).select("record_id", "parent_path", "node_path")
 
 
 def p5_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +21,7 @@ def p5_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_tables(spark: SparkSession, d: str) -> DataFrame:
     """All five flat tables, typed, under their tag; the tagged rows are written once, by tag, into the shared folder."""
-    path = f"{shared_dir(spark)}/strandline-nodes-{uuid.uuid4().hex}"
+    path = shared_path(spark, "nodes")
     nested.flatten_to(table(spark, d, "sink_frames"), path)
     nodes = spark.read.schema(nested.NODE_SCHEMA).parquet(path)
     out = None

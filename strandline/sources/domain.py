@@ -16,22 +16,31 @@ FRAME = ["task_id", "frame_id"]
 DET = ["task_id", "frame_id", "det_idx"]
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """Each row once: a redelivered row is the same, and predicates on any column pass the distinct on to the scan.
+
+    Rows go to their frame's partition first, which serves the distinct and whatever joins or groups by frame behind it.
+    """
+    return rows.repartition(*FRAME).distinct()
+
+
 def detections(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """Boxes (all columns, or the key and `cols`, so that a scan reads no more); `score` is the first of mscores, null where it is missing or outside 0..1."""
     s = F.try_element_at("mscores", F.lit(1)).cast("double")
     rows = table(spark, d, "detected_objects").select("task_id", "channel_id", F.col("mframeid").alias("frame_id"), "det_idx", F.col("mclassify").alias("class_id"), F.when(s.between(0, 1), F.round(s, 6)).alias("score"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mwidth").alias("w"), F.col("mheight").alias("h"))
     rows = rows.select(*DET, *cols) if cols else rows
-    return rows.distinct()  # a redelivered row is the same, and predicates on any column pass a distinct on to the scan
+    return once(rows)
 
 
 def frames(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """Frames (all columns, or the key and `cols`)."""
     rows = table(spark, d, "frames").select("task_id", "graph_id", "channel_id", F.col("mframeid").alias("frame_id"), F.col("mtimestamp").cast("timestamp_ntz").alias("ts"), F.col("mwidth").alias("width"), F.col("mheight").alias("height"), F.col("mfps").cast("double").alias("fps"), F.col("mendofstream").alias("eos"), "error_code")
-    return (rows.select(*FRAME, *cols) if cols else rows).distinct()
+    return once(rows.select(*FRAME, *cols) if cols else rows)
 
 
 def tracks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tracked_objects").select("task_id", F.col("mframeid").alias("frame_id"), "det_idx", F.col("mtrackid").alias("track_id")).distinct()
+    rows = table(spark, d, "tracked_objects").select("task_id", F.col("mframeid").alias("frame_id"), "det_idx", F.col("mtrackid").alias("track_id"))
+    return once(rows)
 
 
 def class_names(spark: SparkSession, d: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
 
 from strandline.operators.sampling import magic_kind
+from strandline.sources.tables import materialise
 
 #: Suffixes of image files, as they are written.
 SUFFIXES = ("jpg", "JPEG", "png", "bmp")
@@ -22,9 +23,14 @@ def read_image_dir(spark: SparkSession, path: str, loops: int = 1, with_content:
     """frame_id, path, kind, content of the images below a folder in order of path; ids go on growing over the loops."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.substring_index("path", ".", -1).isin(*SUFFIXES))
-    paths = files.select("path")  # only names are ordered in one place
-    total = paths.count()
-    numbered = paths.withColumn("n", F.row_number().over(Window.orderBy("path")) - 1).withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
+    # names are sorted by ranges; what the driver sees is the number of names in each range
+    ranged = materialise(files.select("path").repartitionByRange("path").sortWithinPartitions("path").withColumn("m", F.monotonically_increasing_id()), "image-names")
+    sizes = dict(ranged.groupBy(F.shiftright("m", 33).cast("int")).count().collect())
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    first = F.try_element_at(F.create_map(*[F.lit(v) for kv in before.items() for v in kv]), F.shiftright("m", 33).cast("int")) if before else F.lit(0)
+    numbered = ranged.select("path", (first + F.col("m").bitwiseAND((1 << 33) - 1)).alias("n")).withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
     out = numbered.join(files.select("path", "content"), "path")
     out = out.select((F.col("n") + F.col("loop") * total).cast("long").alias("frame_id"), "path", magic_kind(F.col("content")).alias("kind"), "content")
     return out if with_content else out.drop("content")
@@ -40,6 +46,8 @@ def read_posted_images(spark: SparkSession, path: str, stream: bool = False) ->
 def read_lines(spark: SparkSession, path: str) -> list[str]:
     """The lines of a small file; refuses files that aren't small."""
     rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError(f"{path} holds more than one file")
     lines = rows[0][0].splitlines() if rows else []
     if len(lines) > DICTIONARY_ROWS:
         raise ValueError(f"{path} has {len(lines)} lines; keep it as a table")
