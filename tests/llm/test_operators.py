@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,15 +126,70 @@ def test_required_trigrams_hold(x, text):
 # runs
 
 
-@given(st.lists(st.sampled_from([0.0, 0.3, 1.0, 2.0]), max_size=9), st.sampled_from([0.5, 1.0, 1.5]))
-@settings(max_examples=80, deadline=None)
-def test_segmentation_is_optimal(cost, penalty):
-    def value(starts):
-        inner = sum(c for i, c in enumerate(cost) if i + 1 not in starts)
-        return inner + penalty * len(starts)
-
-    best = min(value({0, *s}) for k in range(len(cost) + 1) for s in itertools.combinations(range(1, len(cost) + 1), k))
-    assert abs(value(set(runs.segment(np.array(cost), penalty))) - best) < 1e-9
+def least_cost(events, penalty, max_gap):
+    """Over all segmentations. events: (at, class) in order."""
+    best = math.inf
+    n = len(events)
+    for k in range(n):
+        for cuts in itertools.combinations(range(1, n), k):
+            edges = [0, *cuts, n]
+            runs_ = [events[x:y] for x, y in zip(edges, edges[1:])]
+            if all(q[0] - p[0] <= max_gap for r in runs_ for p, q in zip(r, r[1:])):
+                best = min(best, sum(penalty + len(r) - max([c for _, c in r].count(x) for _, x in r) for r in runs_))
+    return best
+
+
+def in_levels(events, penalty, max_gap, block, fan):
+    """The runs of one entity through the three levels, as the operator does it."""
+    rows = [dict(zip(runs.FIELDS, (1, 2, at // block, i, at, at, c, 1, False, False, False))) for i, (at, c) in enumerate(events)]
+    done = []
+    for level, width in enumerate((1, fan, 10**9)):
+        rows = sorted(({**r, "__group": r["block"] // width} for r in rows), key=lambda r: (r["__group"], r["block"], r["seq"]))
+        if not rows:
+            break
+        schema = pa.schema([(f, pa.string() if f == "key" else pa.bool_() if f in ("fixed", "closed", "done") else pa.int64()) for f in [*runs.FIELDS, "__group"]])
+        rows = runs.solve(pa.Table.from_pylist(rows, schema).combine_chunks(), max_gap, penalty, level == 2).to_pylist()
+        done += [r for r in rows if r["done"]]
+        rows = [r for r in rows if not r["done"]]
+    assert not rows
+    return sorted(done, key=lambda r: r["seq"])
+
+
+@given(st.lists(st.tuples(st.sampled_from([1, 1, 1, 5]), st.sampled_from("aaabc")), min_size=1, max_size=10), st.sampled_from([0.25, 0.6, 1.0, 1.5, 2.2]), st.sampled_from([1, 2, 3, 100]), st.sampled_from([1, 2, 100]))
+@settings(max_examples=250, deadline=None)
+def test_segmentation_is_optimal(steps, penalty, block, fan):
+    events, at = [], 0
+    for gap, c in steps:
+        at += gap
+        events.append((at, c))
+    got = in_levels(events, penalty, 3, block, fan)
+    assert sum(r["n"] for r in got) == len(events)
+    cost, i = 0.0, 0
+    for r in got:
+        part = events[i : i + r["n"]]
+        i += r["n"]
+        assert (part[0][0], part[-1][0]) == (r["first_at"], r["last_at"])
+        cost += penalty + sum(c != r["key"] for _, c in part)
+    assert abs(cost - least_cost(events, penalty, 3)) < 1e-9
+
+
+def test_flicker_stays_in_its_run():
+    events = list(enumerate("aaaabaaaaccccc"))
+    ends = lambda p: [(r["key"], r["n"]) for r in in_levels(events, p, 3, 4, 2)]
+    assert ends(0.25) == [("a", 4), ("b", 1), ("a", 4), ("c", 5)]
+    assert ends(0.75) == [("a", 9), ("c", 5)]  # the optimum isn't to cut at every change
+
+
+def test_segmentation_takes_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        rng = np.random.default_rng(1)
+        keys, began = rng.integers(0, 5, n).tolist(), time.process_time()
+        runs.own_classes(keys, [1] * n, [False] * n, 1.4)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.2
 
 
 @pytest.mark.parametrize("block", [1, 3, 16, 4096])
@@ -153,7 +209,7 @@ def test_runs_whatever_the_blocks(spark, block):
                 cur = [r[2], r[2], 1, r[4]]
                 want.append((e, cur))
     want = sorted((e, *c) for e, c in want)
-    got = runs.collapse_runs(df, ("e", "f"), "at", "tie", "k", 4, block=block)
+    got = runs.collapse_runs(df, ("e", "f"), "at", "tie", "k", 4, block=block, fan=3)
     assert sorted((r.e, r.first_at, r.last_at, r.n, r["class"]) for r in got.collect()) == want
     two = runs.collapse_runs(df, ("e", "f"), "at", "tie", "k", 4, min_n=2, block=block)
     assert sorted((r.e, r.first_at, r.last_at, r.n, r["class"]) for r in two.collect()) == [w for w in want if w[3] > 1]
