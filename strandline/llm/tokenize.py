@@ -4,7 +4,8 @@ A text is cut by the tokenizer's pattern; each distinct piece is encoded once pe
 are encoded together: a complete binary tree over the byte positions of each piece keeps, at every node, the leftmost
 least merge rank of the pairs that start below it (rank and position in one integer, so the minimum is the leftmost).
 A merge reads the root, joins two live neighbours and updates three leaves and their ancestors: logarithmic in the piece,
-vectorised over the pieces.
+vectorised over the pieces. A long piece has a tree of its own: all places of the least rank are merged at once, where no
+pair that such a merge makes can have a lower rank, with the same point updates; else only the leftmost is.
 
 Defined results: null and empty texts have no ids; texts are encoded whole; strings of special tokens are ordinary text;
 text is what UTF-8 holds, so lone surrogates cannot occur.
@@ -27,6 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pieces a worker remembers before it forgets them all; bounds memory, not results.
 REMEMBER = 200_000
 NONE = np.int64(1) << 60
+#: Bytes from which a piece is encoded by itself.
+LONG = 1024
 
 
 def byte_symbols() -> dict[str, int]:
@@ -53,6 +56,11 @@ class ByteBPE:
         order = np.argsort(code)
         self.codes, self.ranks, self.made = code[order], order.astype(np.int64), made[order]
         self.by_rank = made
+        # the least rank of any pair with a token that the merge of this rank makes: is it lower, places must be merged one by one
+        least = np.full(int(max(made.max(), left.max(), right.max())) + 1, len(made), np.int64)
+        np.minimum.at(least, left, np.arange(len(made)))
+        np.minimum.at(least, right, np.arange(len(made)))
+        self.at_once = least[made] > np.arange(len(made))
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, list[int]] = {}
 
@@ -113,6 +121,54 @@ class ByteBPE:
         flat, ends = sym[keep].tolist(), np.cumsum(keep.sum(1)).tolist()
         return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """Ids of one piece of two or more bytes."""
+        n = len(piece)
+        width = 1 << (n - 1).bit_length()
+        sym = self.first[np.frombuffer(piece, np.uint8)]
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        live = np.ones(n, bool)
+        tree = np.full(2 * width, NONE)
+        r = self.rank(sym[:-1], sym[1:])
+        tree[width : width + n - 1] = np.where(r < NONE, r << 32 | np.arange(n - 1), NONE)
+        level = width
+        while level > 1:
+            tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+            level //= 2
+        while (best := int(tree[1])) < NONE:
+            rank = best >> 32
+            if self.at_once[rank]:
+                nodes = np.ones(1, np.int64)
+                while nodes[0] < width:  # down to all leaves of this rank, in order
+                    nodes = (2 * nodes[:, None] + np.arange(2)).ravel()
+                    nodes = nodes[tree[nodes] >> 32 == rank]
+                at = nodes - width
+                if len(at) > 1:
+                    joined = np.concatenate([[False], nxt[at[:-1]] == at[1:]])  # overlaps the pair before it, as in aaa
+                    if joined.any():
+                        head = np.maximum.accumulate(np.where(joined, 0, np.arange(len(at))))
+                        at = at[(np.arange(len(at)) - head) % 2 == 0]
+            else:
+                at = np.array([best & 0xFFFFFFFF])
+            gone = nxt[at]
+            after = nxt[gone]
+            sym[at] = self.by_rank[rank]
+            live[gone] = False
+            nxt[at] = after
+            has = after < n
+            prv[after[has]] = at[has]
+            tree[width + gone] = tree[width + at] = NONE
+            start = np.concatenate([at[has], prv[at[prv[at] >= 0]]])
+            r = self.rank(sym[start], sym[nxt[start]])
+            tree[width + start] = np.where(r < NONE, r << 32 | start, NONE)
+            up = (np.concatenate([at, gone, start]) + width) >> 1
+            for _ in range(width.bit_length() - 1):
+                if len(up) > 64:
+                    up = np.unique(up)
+                tree[up] = np.minimum(tree[2 * up], tree[2 * up + 1])
+                up >>= 1
+        return sym[live].tolist()
+
     def learn(self, pieces) -> None:
         """Encodes the given pieces, by size class, and remembers them."""
         classes: dict[int, list[tuple[str, bytes]]] = {}
@@ -120,6 +176,8 @@ class ByteBPE:
             b = p.encode()
             if len(b) == 1:
                 self.known[p] = [int(self.first[b[0]])]
+            elif len(b) >= LONG:
+                self.known[p] = self.merge_long(b)
             else:
                 classes.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append((p, b))
         for width, members in classes.items():

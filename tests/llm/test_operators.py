@@ -256,6 +256,29 @@ def test_encoding_equals_library(spark):
     assert tokenize.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_long_pieces_equal_library(monkeypatch):
+    import time
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenize.TOKENIZER_DIR + "/byte_bpe_50k.json")
+    b = tokenize.encoder(tokenize.TOKENIZER_DIR + "/byte_bpe_50k.json")
+    rng = random.Random(6)
+    pieces = ["".join(rng.choice(x) for _ in range(n)) for x in ("ab", "aabé", "etaoinshr", "ACGT", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "=-+/*_", "日本語") for n in (2, 3, 5, 64, 999, 4000)]
+    pieces += ["a" * n for n in (2, 3, 7, 1025, 30_000)] + ["ab" * 700, "aab" * 700]
+    for p in pieces:
+        assert b.merge_long(p.encode()) == t.encode(p, add_special_tokens=False).ids
+    monkeypatch.setattr(b, "at_once", np.zeros(len(b.at_once), bool))  # one by one: the same
+    assert all(b.merge_long(p.encode()) == t.encode(p, add_special_tokens=False).ids for p in pieces if len(p) < 100)
+    monkeypatch.undo()
+    big = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(1_000_000))
+    began = time.process_time()
+    ids = b.merge_long(big.encode())
+    took = time.process_time() - began
+    print(took)
+    assert took < 30 and ids == t.encode(big, add_special_tokens=False).ids
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     b = tokenize.encoder(tokenize.TOKENIZER_DIR + "/byte_bpe_50k.json")
     want = b.encode_batch(TEXTS)
