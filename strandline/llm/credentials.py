@@ -50,13 +50,13 @@ RULES: list[tuple[str, str]] = [
     ("userinfo_encoded", r"%3A%2F%2F(?:(?!%3A|%40|%2F)[^\s&/@\"'])*%3A((?:(?!%2F)[^\s&/\"'])*)%40"),
     ("userinfo_password", r"[a-z0-9]://[^\s/:@?#\"'|]*:([^\s/\"|]*)@"),
     ("userinfo_token", r"[a-z0-9]://([^\s/:@?#\"']+):?@"),
-    ("authorization_scheme", r"authorization(?:\"|'|%22)?\s*+(?:=|:|%3D|%3A)\s*+[\"']?(?:bearer|basic|digest|token)(?:\s|%20|\+)++([^\s\"'&#|;,]+)"),
+    ("authorization_scheme", r"authorization(?:\"|'|%22)?[^\S\n]*+(?:=|:|%3D|%3A)[^\S\n]*+[\"']?(?:bearer|basic|digest|token)(?:[^\S\n]|%20|\+)++([^\s\"'&#|;,]+)"),
     ("path_token", r"/(?:auth|token|key|secret)/([A-Za-z0-9_~.=-]+)(?=/|$|\?|#)"),
-    ("login_comment", r"#[^\S\n]*login\s+\S+\s*/\s*(\S+)"),
+    ("login_comment", r"#[^\S\n]*login[^\S\n]+\S+[^\S\n]*/[^\S\n]*(\S+)"),
     ("underscored_pair", r"user=(?:(?!user=)[^\s/&;])*?_password=([^\s/&]*?)_channel="),
-    ("quoted_pair", rf"{FIELD}[\"']?\s*+[=:]\s*+\"((?:[^\"\\]++|\\.)*+)\""),
-    ("single_quoted_pair", rf"{FIELD}[\"']?\s*+[=:]\s*+'((?:[^'\\]++|\\.)*+)'"),
-    ("config_line", rf"(?m:^)[ \t]*(?:{PREFIX}{NAME}|[A-Za-z0-9]{{1,20}}[-_]pw)[ \t]*:[ \t]+([^\n\r\"' \t][^\n\r]*?)\s*(?=\r|\n|\Z)"),
+    ("quoted_pair", rf"{FIELD}[\"']?[^\S\n]*+[=:][^\S\n]*+\"((?:[^\"\\\n]++|\\[^\n])*+)\""),
+    ("single_quoted_pair", rf"{FIELD}[\"']?[^\S\n]*+[=:][^\S\n]*+'((?:[^'\\\n]++|\\[^\n])*+)'"),
+    ("config_line", rf"(?m:^)[ \t]*(?:{PREFIX}{NAME}|[A-Za-z0-9]{{1,20}}[-_]pw)[ \t]*:[ \t]+([^\n\r\"' \t][^\n\r]*?)[^\S\n]*(?=\r|\n|\Z)"),
     ("header_pair", rf"{FIELD}:[ \t]*([^\s\"'&#|;,]+)"),
     ("plain_pair", rf"{FIELD}=([^\s\"'&#|;]+)"),
     ("encoded_pair", rf"(?:%3F|%26|%23){PREFIX}{NAME}%3D((?:(?!%26|%23)[^\s\"'&#|;])+)"),
@@ -68,7 +68,7 @@ CODE_WORD = r"(?:pass[_-]?word|passwd|pass[_-]?phrase|pwd|passwort|contrase(?:ñ
 CODE_NAME = CODE_WORD + r"(?:[_-]?(?:prod|dev|test|staging|live|value|str|text|raw))?[_-]?\d{0,4}(?![A-Za-z0-9_-])[\"'`]?\]?(?:\[\d{0,5}\])?"
 #: A type between name and value, at most so long as types are.
 _TYPE = r"(?:[ \t]*:[ \t]*[&A-Za-z_][\w.<>\[\]?&' ]{0,40}?|[ \t]+(?:string|String|str))?"
-_LITERAL = r"(?:[rbuflLR@$]{0,2}\"((?:[^\"\\\n]++|\\.)*+)\"|[rbuflLR]{0,2}'((?:[^'\\\n]++|\\.)*+)'|`((?:[^`\\\n]++|\\.)*+)`)"
+_LITERAL = r"(?:[rbuflLR@$]{0,2}\"((?:[^\"\\\n]++|\\[^\n])*+)\"|[rbuflLR]{0,2}'((?:[^'\\\n]++|\\[^\n])*+)'|`((?:[^`\\\n]++|\\[^\n])*+)`)"
 #: Formats of tokens that providers document.
 PROVIDERS = [
     r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,255}", r"github_pat_[A-Za-z0-9_]{22,255}", r"glpat-[A-Za-z0-9_-]{20,255}", r"xox[abeoprs]-[A-Za-z0-9-]{10,255}",
@@ -79,7 +79,7 @@ CODE_RULES: list[tuple[str, str]] = [
     KEY_BLOCK,
     ("userinfo_password", r"[a-z0-9]://[^\s/:@?#\"'|]*:([^\s/\"'|]*)@(?=[\w\[$.-])"),
     ("userinfo_database", r"(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|rediss|amqps?|mssql)://[^\s/:@?#\"'|]*:([^\s\"'|@]+)@(?=[\w\[$.-])"),
-    ("authorization_scheme", r"authorization(?:\"|')?\]?\s*+(?:=>|=|:|,)\s*+[rbf]?[\"'`]?(?:bearer|basic|digest|token)[ \t]++([^\s\"'`&#|;,]+)"),
+    ("authorization_scheme", r"authorization(?:\"|')?\]?[^\S\n]*+(?:=>|=|:|,)[^\S\n]*+[rbf]?[\"'`]?(?:bearer|basic|digest|token)[ \t]++([^\s\"'`&#|;,]+)"),
     ("bearer_literal", r"[\"'`]bearer[ \t]++([A-Za-z0-9._~+/=-]{8,})[\"'`]"),
     ("provider_token", r"(?-i:(?<![A-Za-z0-9_])(" + "|".join(PROVIDERS) + r")(?![A-Za-z0-9_]))"),
     ("assigned_literal", rf"{CODE_NAME}{_TYPE}[ \t]*+(?:=>|:=|\?=|\|\|=|=|:)[ \t]*+{_LITERAL}"),

@@ -112,9 +112,15 @@ def test_index_chunks(monkeypatch):
     texts = ["", None, "ab", "abcdefgh" * 5, "xyzé" * 3, "abc"]
     want = {g: [i for i, t in enumerate(texts) if g in credentials.trigrams(t or "")] for t in texts for g in credentials.trigrams(t or "")}
     for size in (1, 3, 7, 1 << 20):
-        monkeypatch.setattr(credentials, "CHUNK", size)
+        monkeypatch.setattr(credentials, "BUFFER", size)
         index = credentials.TrigramIndex(pa.array(texts))
-        assert {g: index.postings(g).tolist() for g in want} == want and index.postings(1).tolist() == []
+        assert {g: index.owner[index.postings(g)].tolist() for g in want} == want and index.postings(1).tolist() == []
+    monkeypatch.setattr(credentials, "CHUNK", 4)
+    text = "abc\nabcdefgh\n\nx\ny\nabc"
+    assert [text[a:b] for a, b in credentials.chunks(text)] == ["abc\n", "abcdefgh\n", "\nx\ny\n", "abc"]
+    index = credentials.TrigramIndex(pa.array([text, "zabc"]))
+    (gram,) = credentials.trigrams("abc")
+    assert index.postings(gram).tolist() == [0, 1, 3, 4] and index.owner.tolist() == [0, 0, 0, 0, 1]
 
 
 @pytest.mark.parametrize("x,text", [("ab(?:cd|ef)gh", "abefgh"), ("x?abc+d", "abccd"), ("(?:abc){2}", "abcabc"), ("[ab]cde", "bcde"), ("a.b", "axb")])
