@@ -31,7 +31,7 @@ class Boxes:
     extra: dict = field(default_factory=dict)
 
     def take(self, rows) -> "Boxes":
-        return Boxes(self.tlwh[rows], self.score[rows], self.klass[rows], {k: v[rows] for k, v in self.extra.items()})
+        return Boxes(self.tlwh[rows], self.score[rows], self.klass[rows], {k: v[rows] for k, v in self.extra.items() if isinstance(v, np.ndarray)})
 
 
 def sigmoid(x):
@@ -183,8 +183,8 @@ def decode_v8_seg(output: np.ndarray, proto: np.ndarray, src, net, conf: float,
     limit = iou if mask_threshold is None else mask_threshold
     masks = []
     for m, (x, y, w, h) in zip(inner, b.tlwh.astype(int)):
-        masks.append(resize_plane(m, src[0], src[1])[y : y + h, x : x + w] > limit)
-    b.extra["mask"] = np.array(masks, object)
+        masks.append(resize_plane(m, src[0], src[1], (x, y, w, h)) > limit)
+    b.extra["mask"] = masks
     return b
 
 
@@ -273,10 +273,12 @@ def decode_faces(loc: np.ndarray, conf: np.ndarray, marks: np.ndarray, src, thre
     return b if max_faces is None else b.take(np.arange(min(max_faces, len(b.score))))
 
 
-def resize_plane(plane: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned."""
+def resize_plane(plane: np.ndarray, width: int, height: int, window: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    """Bilinear, pixel centres aligned; of the result only `window` (x, y, w, h) is made."""
     h, w = plane.shape[:2]
-    ys, xs = np.clip((np.arange(height) + 0.5) * h / height - 0.5, 0, h - 1), np.clip((np.arange(width) + 0.5) * w / width - 0.5, 0, w - 1)
+    x, y, nx, ny = window or (0, 0, width, height)
+    rows, cols = np.arange(y, min(y + ny, height)), np.arange(x, min(x + nx, width))
+    ys, xs = np.clip((rows + 0.5) * h / height - 0.5, 0, h - 1), np.clip((cols + 0.5) * w / width - 0.5, 0, w - 1)
     y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
     fy, fx = (ys - y0)[:, None], (xs - x0)[None]

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import os
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import ctc, decode
+from strandline.functions import ctc
 from strandline.functions.suppression import suppress_rotated
 from strandline.operators import sampling, tracking
 from strandline.plans import graph as G
 from strandline.plans.flows import SECONDS
+from strandline.plans.tensors import PROB_IOU, _nms
 from strandline.plans.scans import WIRE, WITH, _sql_area
 from strandline.sources import domain as D
 from strandline.sources import sinks
@@ -62,44 +61,6 @@ def nms_rotated(spark, d):
     return suppress_rotated(rows, FRAME, 0.3)
 
 
-def _decoded(spark, d, name: str, run) -> DataFrame:
-    """Each frame's boxes as a detector's decoded matrix (centre, size, objectness, 8 class scores), through a decoder and back to rows."""
-    cols = ["x", "y", "w", "h", "score", "class_id"]
-    rows = D.detections(spark, d, "x", "y", "w", "h", "score", "class_id").where("score is not null and class_id >= 0 and w > 0 and h > 0")
-    packed = rows.groupBy(*FRAME).agg(*[F.transform(F.sort_array(F.collect_list(F.struct("det_idx", F.col(c).cast("double").alias("v")))), lambda s: s["v"]).alias(c) for c in cols])
-
-    def decode_batches(batches):
-        names = ["task_id", "frame_id", "class_id", "score", "x", "y", "w", "h"]
-        for b in batches:
-            out = []
-            for task, frame, x, y, w, h, s, k in zip(*[b.column(i).to_pylist() for i in range(8)]):
-                m = np.zeros((len(x), 13))
-                m[:, 0], m[:, 1], m[:, 2], m[:, 3], m[:, 4] = np.array(x) % 600 + np.array(w) / 2, np.array(y) % 600 + np.array(h) / 2, w, h, s
-                m[np.arange(len(x)), 5 + np.array(k, int) % 8] = 1.0
-                r = run(m)
-                out += [(task, frame, int(c), float(v), *map(int, t)) for t, v, c in zip(r.tlwh, r.score, r.klass)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64()] + [pa.int32()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], names)
-
-    return packed.select(*FRAME, *cols).mapInArrow(decode_batches, "task_id long, frame_id long, class_id int, score double, x int, y int, w int, h int")
-
-
-def decode_yolov5(spark, d):
-    return _decoded(spark, d, "yolov5", lambda m: decode.decode_v5([m], (1280, 1280), (1280, 1280), 0.3, 0.5))
-
-
-def decode_yolov7(spark, d):
-    return _decoded(spark, d, "yolov7", lambda m: decode.decode_v7([m], (1280, 1280), (1280, 1280), 0.3, 0.5))
-
-
-def decode_yolov8(spark, d):
-    def run(m):
-        rows = np.concatenate([m[:, :4], m[:, 4:5] * m[:, 5:]], 1)
-        return decode.decode_v8(rows.T, (1280, 1280), (1280, 1280), {k: 0.3 for k in range(8)}, 0.5)
-
-    return _decoded(spark, d, "yolov8", run)
-
-
 def frame_json(spark, d):
     """The sink's JSON of every frame, read back: ids, size, numbers of objects, first class."""
     p = sinks.frame_json(D.frames(spark, d), D.detections(spark, d), D.tracks(spark, d), FRAME)
@@ -178,7 +139,8 @@ left join (select task_id, frame_id, count(*) as m from tr group by all) t on t.
     "pipeline_graph": WITH + f""", f2 as (select * from fr where frame_id % 2 = 0 or coalesce(eos, false)), hit as (select distinct task_id, frame_id from det join (select task_id, frame_id from f2 where channel_id = 20 and cast(floor(epoch_us(ts) / 1000) as bigint) % 86400000 between 0 and 86399000) using (task_id, frame_id) where score > 0.3 and class_id in (0, 1, 2) and {_sql_area(WIRE)})
 , c as (select distinct task_id from f2 where channel_id = 20) select f2.task_id, f2.frame_id, case when h.task_id is not null then 1 else 0 end as tag from f2 left join hit h on h.task_id = f2.task_id and h.frame_id = f2.frame_id left join c on c.task_id = f2.task_id where h.task_id is not null or c.task_id is null or coalesce(eos, false)""",
 }
-NO_SQL = ["track_bytetrack", "nms_rotated", "decode_yolov5", "decode_yolov7", "decode_yolov8", "stream_equals_batch_throttle", "stream_equals_batch_sampling"]
+ORACLE["nms_rotated"] = "with recursive " + D.SQL + ", q as (select task_id, frame_id, det_idx, class_id, score, x + w / 2.0 as px, y + h / 2.0 as py, cast(w as double) as pw, cast(h as double) as ph, (det_idx % 7) * cast(0.4 as double) as pr, 0.0 as qx, 0.0 as qy from det where score is not null and w > 0 and h > 0), " + _nms("q", 0.3, test=f"{PROB_IOU} >= 0.3") + " select task_id, frame_id, det_idx, class_id, score from kp"
+NO_SQL = ["track_bytetrack", "stream_equals_batch_throttle", "stream_equals_batch_sampling"]
 from strandline.plans.flows import ORACLE as _FLOWS  # noqa: E402
 from strandline.plans.scans import ORACLE as _SCANS  # noqa: E402
 

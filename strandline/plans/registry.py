@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import extras, flows, models, nested, scans
+from strandline.plans import extras, flows, models, nested, scans, tensors
 
 FLAGSHIP = "pipeline_tripwire"
-MODULES = [scans, flows, models, extras, nested]
+MODULES = [scans, flows, models, tensors, extras, nested]
 
 
 def queries() -> dict:
