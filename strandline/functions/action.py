@@ -70,6 +70,6 @@ def action_input(points: np.ndarray, scores: np.ndarray, frame: tuple[int, int])
     idx = sample_clips(len(points))
     moved, size = compact(points, frame)
     moved = resize_crop(moved, size)
-    v = heat_volume(moved[idx], scores[idx])
+    v = heat_volume(moved, scores)[:, idx]  # each frame once
     v = v.reshape(v.shape[0], CLIPS, CLIP, *v.shape[2:]).swapaxes(0, 1)
     return np.stack([v, v])
