@@ -70,35 +70,49 @@ def throttle(frames: DataFrame, stream: list[str], seconds: float, ts: str = "ts
     return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def route_table(rules: list[RouteRule], spark) -> DataFrame:
-    """rule, class_name, port; within one rule a later route of a class replaces an earlier one."""
-    rows = [(i, c, p) for i, r in enumerate(rules) for c, p in {c: x.port for x in r.routes for c in x.classes}.items()]
-    return spark.createDataFrame(rows, "rule int, class_name string, port int")
+def fired_rules(frames: DataFrame, rules: list[RouteRule], frame: list[str], stream: list[str]) -> DataFrame:
+    """frame columns, fired: the numbers of the rules that fire on each frame; frames on which none does are left out."""
+    rows = frames
+    marks = []
+    for i, r in enumerate(rules):
+        if r.time_interval is not None:
+            at = throttle(frames, stream, r.time_interval).select(*frame, F.lit(True).alias(f"__t{i}"))
+            rows = rows.join(at, frame, "left")
+            marks.append(F.col(f"__t{i}"))
+        else:
+            marks.append((F.col("frame_id") % r.interval() == 0) | F.coalesce(F.col("eos"), F.lit(False)))
+    fired = F.array_compact(F.array(*[F.when(m, i) for i, m in enumerate(marks)]))
+    return rows.select(*frame, fired.alias("fired")).where(F.size("fired") > 0)
+
+
+def class_routes(names: DataFrame, rules: list[RouteRule]) -> DataFrame:
+    """class_id, routes (rule, port) of the classes that any rule names; within one rule a later route of a class replaces an earlier one."""
+    rows = [(c, i, p) for i, r in enumerate(rules) for c, p in {c: x.port for x in r.routes for c in x.classes}.items()]
+    table = names.sparkSession.createDataFrame(rows, "class_name string, rule int, port int")
+    return names.join(F.broadcast(table), "class_name").groupBy("class_id").agg(F.collect_set(F.struct("rule", "port")).alias("routes"))
 
 
 def route(frames: DataFrame, det: DataFrame, names: DataFrame, rules: list[RouteRule], frame: list[str], stream: list[str]) -> DataFrame:
     """Sub-rows frame columns, sub_id, det_idx, port of all rules that fire; sub_id -1 stands for the whole frame.
 
-    The route table comes from the configuration, so it is small whatever the data. A port two rules give counts once.
+    Rules become marks of a frame and ports an array of a class, so frames and detections are read once, whatever the number
+    of rules. The routes come from the configuration, so they are small whatever the data. A port two rules give counts once.
     """
-    spark = det.sparkSession
-    subs = sub_ids(det, frame).join(names, "class_id", "left")
-    table = F.broadcast(route_table(rules, spark))
-    out = None
-    for i, r in enumerate(rules):
-        fired = throttle(frames, stream, r.time_interval) if r.time_interval is not None else fires_by_frame(frames, r.interval())
-        fired = fired.select(*frame)
-        parts = [subs.join(table.where(F.col("rule") == i), "class_name").join(fired, frame, "left_semi").select(*frame, "sub_id", "det_idx", "port")]
-        parts += [fired.select(*frame, F.lit(-1).alias("sub_id"), F.lit(None).cast("int").alias("det_idx"), F.lit(x.port).alias("port")) for x in r.routes if not x.classes]
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-    return out.dropDuplicates([*frame, "sub_id", "port"])
+    fired = fired_rules(frames, rules, frame, stream)
+    ports = lambda routes: F.explode(F.array_distinct(F.transform(F.filter(routes, lambda x: F.array_contains("fired", x["rule"])), lambda x: x["port"])))
+    subs = sub_ids(det, frame).select(*frame, "sub_id", "det_idx", "class_id").join(F.broadcast(class_routes(names, rules)), "class_id")
+    out = subs.join(fired, frame).select(*frame, "sub_id", "det_idx", ports(F.col("routes")).alias("port"))
+    whole = [F.struct(F.lit(i).alias("rule"), F.lit(x.port).alias("port")) for i, r in enumerate(rules) for x in r.routes if not x.classes]
+    if whole:
+        out = out.unionByName(fired.select(*frame, F.lit(-1).alias("sub_id"), F.lit(None).cast("int").alias("det_idx"), ports(F.array(*whole)).alias("port")))
+    return out
 
 
-def branch_counts(frames: DataFrame, routed: DataFrame, frame: list[str]) -> DataFrame:
-    """The default port: every frame once, with the number of its branches."""
-    n = routed.groupBy(*frame).agg(F.count(F.lit(1)).cast("int").alias("branches"))
-    return frames.join(n, frame, "left").withColumn("branches", F.coalesce("branches", F.lit(0)))
+def branch_counts(frames: DataFrame, routed: DataFrame, frame: list[str], came=None) -> DataFrame:
+    """The default port: every frame once, with the number of its branches; with `came`, also `received`, those of them that came back."""
+    counts = [F.count(F.lit(1)).cast("int").alias("branches")] + ([] if came is None else [F.count_if(came).cast("int").alias("received")])
+    rows = frames.join(routed.groupBy(*frame).agg(*counts), frame, "left")
+    return rows.fillna(0, ["branches"] if came is None else ["branches", "received"])
 
 
 def converge(main: DataFrame, arrived: DataFrame, frame: list[str], stream: list[str], order: str = "frame_id", strict: bool = True) -> DataFrame:
@@ -108,11 +122,15 @@ def converge(main: DataFrame, arrived: DataFrame, frame: list[str], stream: list
     incomplete frame itself is missing. Frames without branches are complete.
     """
     got = arrived.groupBy(*frame).agg(F.count(F.lit(1)).cast("int").alias("received"))
-    joined = main.join(got, frame, "left").withColumn("received", F.coalesce("received", F.lit(0)))
+    return release(main.join(got, frame, "left").fillna(0, ["received"]), stream, order, strict)
+
+
+def release(counted: DataFrame, stream: list[str], order: str = "frame_id", strict: bool = True) -> DataFrame:
+    """As `converge`, of frames that have both counts."""
     if not strict:
-        return joined.where("received = branches")
-    first = joined.where("received <> branches").groupBy(*stream).agg(F.min(order).alias("__stall"))
-    return joined.join(first, stream, "left").where(F.col("__stall").isNull() | (F.col(order) < F.col("__stall"))).drop("__stall")
+        return counted.where("received = branches")
+    first = counted.where("received <> branches").groupBy(*stream).agg(F.min(order).alias("__stall"))
+    return counted.join(first, stream, "left").where(F.col("__stall").isNull() | (F.col(order) < F.col("__stall"))).drop("__stall")
 
 
 def nested_parent(path, levels: int = 1):

@@ -25,6 +25,10 @@ LEVELS = [T.RouteRule([T.Route([], port)], frame_interval=every) for port, every
 AGAIN, AGAIN_PORT = [T.RouteRule([T.Route(["pedestrian", "turnstile"], 1), T.Route(["sedan", "lorry"], 2)])], 3
 
 
+#: Which branch results come back.
+CAME = "not (port = 2 and frame_id % 7 = 0)"
+
+
 def _routed(spark, d):
     return T.route(D.frames(spark, d, "eos"), D.detections(spark, d, "class_id"), D.class_names(spark, d), ROUTES, FRAME, STREAM)
 
@@ -48,16 +52,14 @@ def branch_totals(spark, d):
 
 def converge(spark, d):
     """Branch results come back but for those of port 2 on frames divisible by 7; incomplete frames are left out."""
-    routed = _routed(spark, d)
-    back = routed.where("not (port = 2 and frame_id % 7 = 0)")
-    return T.converge(T.branch_counts(D.frames(spark, d, "eos"), routed, FRAME), back, FRAME, STREAM, strict=False).select(*FRAME, "branches")
+    counted = T.branch_counts(D.frames(spark, d, "eos"), _routed(spark, d), FRAME, F.expr(CAME))
+    return T.release(counted, STREAM, strict=False).select(*FRAME, "branches")
 
 
 def converge_strict(spark, d):
     """As `converge`, but nothing overtakes an incomplete frame of its stream."""
-    routed = _routed(spark, d)
-    back = routed.where("not (port = 2 and frame_id % 7 = 0)")
-    return T.converge(T.branch_counts(D.frames(spark, d, "eos"), routed, FRAME), back, FRAME, STREAM).select(*FRAME, "branches")
+    counted = T.branch_counts(D.frames(spark, d, "eos"), _routed(spark, d), FRAME, F.expr(CAME))
+    return T.release(counted, STREAM).select(*FRAME, "branches")
 
 
 def converge_nested(spark, d):
@@ -75,11 +77,11 @@ def _two_levels(spark, d, strict):
     outer = T.route(frames, det, names, LEVELS, FRAME, STREAM)
     again = frames.join(outer.where(F.col("port") == AGAIN_PORT), FRAME, "left_semi")
     inner = T.route(again, det, names, AGAIN, FRAME, STREAM)
-    back = inner.where("not (port = 2 and frame_id % 7 = 0)")
-    joined = T.converge(T.branch_counts(again, inner, FRAME), back, FRAME, STREAM, strict=strict)
-    arrived = outer.where(F.col("port") != AGAIN_PORT).select(*FRAME).unionByName(joined.select(*FRAME))
-    full = T.converge(T.branch_counts(frames, outer, FRAME), arrived, FRAME, STREAM, strict=strict)
-    return full.join(joined.select(*FRAME, F.col("branches").alias("parts")), FRAME, "left").select(*FRAME, "branches", F.coalesce("parts", F.lit(0)).alias("parts"))
+    joined = T.release(T.branch_counts(again, inner, FRAME, F.expr(CAME)), STREAM, strict=strict).select(*FRAME, F.col("branches").alias("parts"))
+    # of the outer branches all come back but the inner ones that aren't complete
+    counted = T.branch_counts(frames, outer, FRAME, F.col("port") != AGAIN_PORT).join(joined, FRAME, "left")
+    counted = counted.withColumn("received", F.col("received") + F.col("parts").isNotNull().cast("int"))
+    return T.release(counted, STREAM, strict=strict).select(*FRAME, "branches", F.coalesce("parts", F.lit(0)).alias("parts"))
 
 
 def converge_levels(spark, d):
@@ -283,7 +285,7 @@ def pipeline_structured(spark, d):
     """One level of routing whose branches all come back, and the area rule over the frames; `pipeline_levels` has two levels."""
     frames, det = D.frames(spark, d), D.detections(spark, d)
     routed = T.route(frames, det, D.class_names(spark, d), ROUTES, FRAME, STREAM)
-    full = T.converge(T.branch_counts(frames, routed, FRAME), routed, FRAME, STREAM)
+    full = T.release(T.branch_counts(frames, routed, FRAME, F.lit(True)), STREAM)
     kept = R.in_areas(det, [AREA])
     return full.join(kept.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n_boxes")), FRAME).select(*FRAME, "branches", "n_boxes")
 

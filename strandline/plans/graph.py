@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import json
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -190,16 +191,44 @@ def _decode(e, inputs):
     return {0: fs}
 
 
+def _decode_tensors(e, fs: FrameSet) -> FrameSet:
+    """The relation that a model element's decoder makes of its outputs (`tensors`: frame columns, t0, t1, ...), by task_type where it has one."""
+    from strandline.operators import decoders
+
+    try:
+        fn, fields, relation = decoders.of_element(e.name.removesuffix("_group"), e.configure)
+    except KeyError as missing:
+        raise ConfigError(f"{e.name} (element {e.element_id}) has no decoder for {missing}") from None
+    tensors = sorted((c for c in fs["tensors"].columns if re.fullmatch(r"t\d+", c)), key=lambda c: int(c[1:]))
+    rows = decoders.table_function(fs["tensors"], FRAME, tensors, fn, fields)
+    return {**fs, relation: rows.withColumnRenamed("idx", "det_idx")}
+
+
+def _over_threshold(e, fs: FrameSet) -> DataFrame:
+    """Detections above threshold_conf: one number, or one for each class, by number or by name."""
+    thr = e.configure.get("threshold_conf", 0.0)
+    if not isinstance(thr, dict):
+        return rules.class_threshold(fs["detections"], float(thr))
+    if all(re.fullmatch(r"-?\d+", str(k)) for k in thr):
+        return rules.class_threshold(fs["detections"], {int(k): float(v) for k, v in thr.items()})
+    if "names" not in fs:
+        raise ConfigError(f"{e.name} (element {e.element_id}) has thresholds by name and lacks names")
+    limits = fs["names"].sparkSession.createDataFrame([(str(k), float(v)) for k, v in thr.items()], "class_name string, __limit double")
+    by_class = fs["names"].join(F.broadcast(limits), "class_name").groupBy("class_id").agg(F.min("__limit").alias("__limit"))
+    return fs["detections"].join(F.broadcast(by_class), "class_id").where(F.col("score") > F.col("__limit")).select(fs["detections"].columns)
+
+
 def _model(e, inputs):
-    """Thresholds and suppression over the detections given as a relation, or made by the ModelSpec of the element's name."""
+    """Thresholds and suppression over the detections given as a relation, or made by the ModelSpec of the element's name or
+    from the relation `tensors`."""
     from strandline.functions.suppression import suppress
 
     fs = dict(inputs[min(inputs)])
     if isinstance(spec := MODEL_SLOTS.get(e.name.removesuffix("_group")), ModelSpec):
         fs["detections"] = detect(fs["frames"], spec)
-    thr = e.configure.get("threshold_conf", 0.0)
-    thr = {int(k): float(v) for k, v in thr.items()} if isinstance(thr, dict) else float(thr)
-    det = rules.class_threshold(fs["detections"], thr)
+    elif "tensors" in fs:
+        return {0: _decode_tensors(e, fs)}
+    det = _over_threshold(e, fs)
     if "threshold_nms" in e.configure:
         keep = suppress(det, FRAME, float(e.configure["threshold_nms"]), class_aware=e.name.startswith(("yolov5", "yolov8")), plus=int(e.name.startswith("retinaface")))
         det = det.join(keep.select(*FRAME, "det_idx"), [*FRAME, "det_idx"], "left_semi")
@@ -212,14 +241,34 @@ for _name in ("yolov5", "yolov7", "yolov8", "yolox", "retinaface"):
 
 
 def _slot(e, inputs):
-    """A model slot: `ModelSlots` of the element's name gives the relation; without one the frames pass."""
+    """A model slot: MODEL_SLOTS of the element's name, or its decoder over the relation `tensors`; an empty slot is an error."""
     fs = dict(inputs[min(inputs)])
     fn = MODEL_SLOTS.get(e.name.removesuffix("_group"))
-    return {0: fn(e, fs) if fn else fs}
+    if isinstance(fn, ModelSpec):
+        raise ConfigError(f"the slot of {e.name} takes a function, not a ModelSpec")
+    if fn:
+        return {0: fn(e, fs)}
+    if "tensors" in fs:
+        return {0: _decode_tensors(e, fs)}
+    if e.name.removesuffix("_group") == "template":
+        return {0: fs}
+    raise ConfigError(f"{e.name} (element {e.element_id}) has an empty model slot")
+
+
+@register("resize")
+def _resize(e, inputs):
+    """Frames stretched to dst_w x dst_h; an `image` of raw pixels must come through a slot."""
+    fs = dict(inputs[min(inputs)])
+    if fn := MODEL_SLOTS.get("resize"):
+        return {0: fn(e, fs)}
+    w, h = e.configure.get("dst_w"), e.configure.get("dst_h")
+    if w and h:
+        fs["frames"] = fs["frames"].withColumn("width", F.lit(int(w))).withColumn("height", F.lit(int(h)))
+    return {0: fs}
 
 
-for _name in ("resnet", "lprnet", "ppocr_det", "ppocr_rec", "openpose", "fastpose", "posec3d", "lightstereo", "template", "dwa", "dpu", "ive", "resize"):
-    register(_name, group=_name not in ("resnet", "lightstereo", "dwa", "dpu", "ive", "resize"))(_slot)
+for _name in ("resnet", "lprnet", "ppocr_det", "ppocr_rec", "openpose", "fastpose", "posec3d", "lightstereo", "template", "dwa", "dpu", "ive"):
+    register(_name, group=_name not in ("resnet", "lightstereo", "dwa", "dpu", "ive"))(_slot)
 
 
 @register("bytetrack", ("frames", "detections"))
@@ -241,12 +290,13 @@ def _filter(e, inputs):
     fs = dict(inputs[min(inputs)])
     frames, det = fs["frames"], fs["detections"]
     det = det if "track_id" in det.columns else det.withColumn("track_id", F.lit(-1).cast("long"))
-    mask, channels = None, []
-    for entry in e.configure.get("rules", []):
-        c = int(entry["channel_id"])
-        channels.append(c)
-        mine = frames.where(F.col("channel_id") == c)
-        one = rules.rule_mask(mine, det.join(mine.select(*FRAME), FRAME, "left_semi"), [rule_of(x) for x in entry["filters"]], STREAM)
+    mask, alike = None, {}
+    for entry in e.configure.get("rules", []):  # channels with the same rules are one plan
+        alike.setdefault(json.dumps(entry["filters"], sort_keys=True), (entry["filters"], []))[1].append(int(entry["channel_id"]))
+    channels = [c for _, some in alike.values() for c in some]
+    for filters, some in alike.values():
+        mine = frames.where(F.col("channel_id").isin(some))
+        one = rules.rule_mask(mine, det.join(mine.select(*FRAME), FRAME, "left_semi"), [rule_of(x) for x in filters], STREAM)
         mask = one if mask is None else mask.unionByName(one)
     if mask is not None:
         fs["frames"] = rules.pass_frames(frames, mask, frames.where(F.col("channel_id").isin(channels)), STREAM)
@@ -304,5 +354,51 @@ def _zip(e, inputs):
 
 for _name in ("stitch", "blend"):
     register(_name)(_zip)
-for _name in ("osd", "encode", "http_push", "qt_display"):
-    register(_name)(_blank)
+register("qt_display")(_blank)
+
+
+def _unless_skipped(e, frames: DataFrame) -> DataFrame:
+    """Frames whose bypass list doesn't name the element."""
+    return frames.where(rules.keeps_element(F.col("skip_elements"), e.element_id)) if "skip_elements" in frames.columns else frames
+
+
+@register("osd")
+def _osd(e, inputs):
+    """Adds `overlay`: what is drawn on each frame, as commands."""
+    from strandline.sources.sinks import draw_commands
+
+    fs = dict(inputs[min(inputs)])
+    if "detections" in fs and "names" in fs:
+        fs["overlay"] = draw_commands(fs["detections"].join(_unless_skipped(e, fs["frames"]).select(*FRAME), FRAME, "left_semi"), FRAME, fs["names"])
+    return {0: fs}
+
+
+@register("encode")
+def _encode(e, inputs):
+    """Adds `encoded`: where each frame goes; the transport is a slot."""
+    from strandline.sources.sinks import encode_url
+
+    fs = dict(inputs[min(inputs)])
+    c = e.configure
+    if {"graph_id", "channel_id"} <= set(fs["frames"].columns):
+        at = encode_url(str(c.get("encode_type", "IMG_DIR")), F.col("graph_id"), F.col("channel_id"), c.get("ip", "localhost"), int(c.get("wss_port" if c.get("encode_type") == "WS" else "port", 8554)), c.get("prefix", ""), str(c.get("codec", "")).startswith("h265"))
+        fs["encoded"] = _unless_skipped(e, fs["frames"]).select(*FRAME, at.alias("address"))
+    return {0: fs}
+
+
+@register("http_push")
+def _http_push(e, inputs):
+    """Adds `payloads`, the frames' JSON without end markers, and, where an address is configured, `pushed`: posting them when it is read."""
+    from strandline.sources import sinks
+
+    fs = dict(inputs[min(inputs)])
+    if "detections" in fs and {"graph_id", "channel_id", "fps", "ts"} <= set(fs["frames"].columns):
+        tracks = fs.get("tracks", fs["detections"].select(*FRAME, "det_idx", "track_id") if "track_id" in fs["detections"].columns else None)
+        if tracks is None:
+            tracks = fs["detections"].select(*FRAME, "det_idx", F.lit(-1).cast("long").alias("track_id")).limit(0)
+        frames = fs["frames"].where(~F.coalesce("eos", F.lit(False)))
+        fs["payloads"] = sinks.frame_json(frames, fs["detections"], tracks, FRAME)
+        c = e.configure
+        if "ip" in c and "port" in c:
+            fs["pushed"] = sinks.push(fs["payloads"], f"http://{c['ip']}:{c['port']}{c.get('path', '/')}")
+    return {0: fs}

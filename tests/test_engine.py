@@ -84,7 +84,68 @@ def test_all_elements_are_registered():
     assert len(G.operators()) == 43  # 31 elements and 12 groups
 
 
-def test_routing_graph_runs(spark):
+def test_empty_slots_and_tensors(spark, monkeypatch):
+    end = {"output": [{"port_id": 0, "is_sink": True}], "input": [{"port_id": 0, "is_src": True}]}
+    one = lambda name, **c: G.parse_graph({"elements": [{"element_id": 1, "name": name, "configure": c, "ports": end}]})
+    frames = D.frames(spark, SMALL)
+    with pytest.raises(G.ConfigError, match="empty model slot"):
+        G.compile_graph(one("openpose"), {"frames": frames})
+    t = spark.createDataFrame([(1, 0, [5.0, 5.0, 4.0, 4.0, 0.9, 0.1, 0.3])], "task_id long, frame_id long, t0 array<double>")
+    more = {"src": (10, 10), "net": (10, 10), "conf": 0.2, "iou": 0.5}
+    got = lambda task, shape: G.compile_graph(one("yolov8_group", task_type=task, shapes=[shape], **more), {"frames": frames, "tensors": t})[(1, 0)]
+    (box,) = got("Detect", (7, 1))["detections"].collect()
+    assert (box.class_id, box.x, box.y, box.w, box.h) == (0, 3, 3, 4, 4)
+    (turned,) = [r for r in got("Obb", (7, 1))["obbs"].collect()]
+    assert turned.class_id == 0 and abs(turned.angle - 0.3) < 1e-9
+    assert got("Cls", (7,))["recognitions"].first().class_id == 0
+    with pytest.raises(G.ConfigError, match="no decoder"):
+        got("Depth", (7, 1))
+
+
+def test_thresholds_by_name(spark):
+    end = {"output": [{"port_id": 0, "is_sink": True}], "input": [{"port_id": 0, "is_src": True}]}
+    g = G.parse_graph({"elements": [{"element_id": 1, "name": "yolov5", "configure": {"threshold_conf": {"cat": 0.5, "dog": 0.1}}, "ports": end}]})
+    det = spark.createDataFrame([(1, 0, 0, 0, 0.4), (1, 0, 1, 1, 0.4), (1, 0, 2, 2, 0.9), (1, 0, 3, 0, 0.6)], "task_id long, frame_id long, det_idx int, class_id int, score double")
+    names = spark.createDataFrame([(0, "cat"), (1, "dog"), (2, "cow")], "class_id int, class_name string")
+    got = G.compile_graph(g, {"frames": D.frames(spark, SMALL), "detections": det, "names": names})[(1, 0)]["detections"]
+    assert sorted(r.det_idx for r in got.collect()) == [1, 3]
+
+
+def test_rules_of_no_channel(spark):
+    f = spark.createDataFrame([(1, 0, None)], "task_id long, frame_id long, ts timestamp")
+    det = spark.createDataFrame([], "task_id long, frame_id long, det_idx int, class_id int, track_id long, x int, y int, w int, h int")
+    assert rules.rule_mask(f, det, [], ["task_id"]).count() == 0
+
+
+def test_push_from_a_graph(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    bodies = []
+
+    class Receiver(BaseHTTPRequestHandler):
+        def do_POST(self):
+            bodies.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    end = {"output": [{"port_id": 0, "is_sink": True}], "input": [{"port_id": 0, "is_src": True}]}
+    g = G.parse_graph({"elements": [{"element_id": 1, "name": "http_push", "configure": {"ip": "127.0.0.1", "port": server.server_port, "path": "/x"}, "ports": end}]})
+    frames = D.frames(spark, SMALL).where("task_id % 40 = 0 and frame_id < 20")
+    out = G.compile_graph(g, {"frames": frames, "detections": D.detections(spark, SMALL)})[(1, 0)]
+    sent = out["pushed"].groupBy().sum().first()
+    server.shutdown()
+    n = frames.where("not coalesce(eos, false)").count()
+    assert tuple(sent) == (n, 0) and len(bodies) == n > 0 and all("mFrame" in b for b in bodies)
+
+
+def test_routing_graph_runs(spark, monkeypatch):
+    monkeypatch.setitem(G.MODEL_SLOTS, "resnet", lambda e, fs: fs)
     g = {
         "graph_id": 3,
         "elements": [
@@ -246,11 +307,11 @@ STATEFUL_GRAPH = {
     "elements": [
         {"element_id": 1, "name": "decode", "configure": {"sample_interval": 1}, "ports": {"input": [{"port_id": 0, "is_src": True}]}},
         {"element_id": 2, "name": "yolov5", "configure": {"threshold_conf": 0.2, "threshold_nms": 0.6}},
-        {"element_id": 3, "name": "bytetrack", "configure": {"track_thresh": 0.3, "high_thresh": 0.35, "match_thresh": 0.8}},
+        {"element_id": 3, "name": "blank"},
         {"element_id": 4, "name": "filter", "configure": {"rules": [{"channel_id": c, "filters": [
             {"type": 1, "classes": list(range(20)), "areas": [[]], "times": [{"time_start": "00 00 00", "time_end": "23 59 59"}], "alert_first_frame": 2, "alert_frame_skip_nums": 3},
             {"type": 1, "classes": list(range(50)), "areas": [[{"left": 100, "top": 50}, {"left": 2000, "top": 80}, {"left": 1800, "top": 1300}, {"left": 60, "top": 1200}]], "times": [{"time_start": "00 00 00", "time_end": "23 59 59"}], "direction": [1.0, 0.5], "trajectory_interval": 2},
-            {"type": 2, "classes": [0, 1, 2], "areas": [[{"left": 100, "top": 540}, {"left": 1800, "top": 560}]], "times": [{"time_start": "00 00 00", "time_end": "23 59 59"}]}]} for c in range(0, 60, 2)]}},
+            {"type": 2, "classes": [0, 1, 2], "areas": [[{"left": 100, "top": 540}, {"left": 1800, "top": 560}]], "times": [{"time_start": "00 00 00", "time_end": "23 59 59"}]}]} for c in range(0, 60)]}},
         {"element_id": 5, "name": "http_push", "ports": {"output": [{"port_id": 0, "is_sink": True}]}},
     ],
     "connections": [{"src_element_id": i, "dst_element_id": i + 1} for i in range(1, 5)],
@@ -261,8 +322,8 @@ def test_stream_graph_equals_batch(spark, tmp_path):
     from strandline.streaming import compiled
 
     g = G.parse_graph(STATEFUL_GRAPH)
-    frames = D.frames(spark, SMALL).where("task_id % 3 = 0")
-    det = D.detections(spark, SMALL).where("w > 0 and h > 0").join(frames.select("task_id", "frame_id"), ["task_id", "frame_id"], "left_semi")
+    frames = D.frames(spark, SMALL)
+    det = D.detections(spark, SMALL).where("w > 0 and h > 0").join(D.tracks(spark, SMALL), D.DET, "left").withColumn("track_id", F.coalesce("track_id", F.lit(-1)))
     batch = G.compile_graph(g, {"frames": frames, "detections": det})[(5, 0)]["frames"].select("task_id", "frame_id", "tag")
     boxed = compiled.with_boxes(frames, det)
     got = models.run_stream(compiled.compile_stream(g, chunked(spark, boxed, tmp_path, ["frame_id"], 6)), "t")
