@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 ROOT, SUB, DETECTION, FRAME, BOX = "object", "sub_object", "detection", "frame", "box"
 NODE_SCHEMA = "record_id long, tag string, node_path string, parent_path string, payload string"
 
+#: Characters of emitted rows that are held before they go on.
+FLUSH = 8_000_000
 _BLANK = " \t\r\n﻿"
 _TOKEN = re.compile(r"[ \t\r\n]*(?:([{}\[\],:])|(\")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null))")
 
@@ -143,25 +145,27 @@ def emit_nodes(df: DataFrame, id_col: str = "record_id", payload_col: str = "pay
     """One tagged row for every node of every payload: record_id, tag, node_path, parent_path, payload. No shuffle."""
     names = ["record_id", "tag", "node_path", "parent_path", "payload"]
 
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64())] + [pa.array(c, pa.string()) for c in out[1:]], names)
+
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            out = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                root = read_payload(texts[i].as_py())
+            out, size = [[], [], [], [], []], 0
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                root = read_payload(text.as_py())
                 if root is None:
                     continue
-                rid = ids[i].as_py()
                 for tag, path, parent, body in visit(root):
                     out[0].append(rid)
                     out[1].append(tag)
                     out[2].append(path)
                     out[3].append(parent)
                     out[4].append(body)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64())] + [pa.array(c, pa.string()) for c in out[1:]], names)
-                    out = [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64())] + [pa.array(c, pa.string()) for c in out[1:]], names)
+                    size += len(path) + len(parent) + len(body)
+                    if size > FLUSH:  # a deep record's paths may be long
+                        yield batch_of(out)
+                        out, size = [[], [], [], [], []], 0
+            yield batch_of(out)
 
     source = df.select(F.col(id_col).cast("long").alias("record_id"), F.col(payload_col).cast("string").alias("payload"))
     return source.mapInArrow(run, NODE_SCHEMA)

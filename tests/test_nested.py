@@ -43,7 +43,7 @@ def test_visit_equals_recursion(o):
 def test_deep_nesting():
     depth = 20_000
     text = '{"mSubObjectMetadatas":[' * depth + "{}" + "]}" * depth
-    assert sum(1 for _ in N.visit(N.read_payload(text), False)) == depth + 1
+    assert sum(1 for _ in N.visit(N.read_payload(text))) == depth + 1
 
 
 @pytest.mark.parametrize("text", [None, "", "  ", "[]", "null", "3", '"x"', "{", '{"a":1}]', '{"a":NaN}', '{"a":1,}', "connection reset"])
