@@ -42,6 +42,11 @@ def route_full_frame(spark, d):
     return T.fires_by_frame(D.frames(spark, d, "eos"), 3).select(*FRAME, F.lit(-1).alias("sub_id"), F.lit(4).alias("port"))
 
 
+def route_frame_interval(spark, d):
+    """Whole frames to ports 1, 2 and 3 at intervals of 2, 3 and 4."""
+    return T.route(D.frames(spark, d, "eos"), D.detections(spark, d, "class_id"), D.class_names(spark, d), LEVELS, FRAME, STREAM).select(*FRAME, "port")
+
+
 def route_time_interval(spark, d):
     return T.throttle(D.frames(spark, d, "ts"), STREAM, SECONDS)
 
@@ -341,6 +346,7 @@ _T12 = "cast(floor(epoch_us(ts) / 1000) as bigint) % 86400000 between 0 and 4320
 ORACLE = {
     "route_class": WITH + _SUB + "select task_id, frame_id, sub_id, port from routed",
     "route_full_frame": WITH + "select task_id, frame_id, -1 as sub_id, 4 as port from fr where frame_id % 3 = 0 or coalesce(eos,false)",
+    "route_frame_interval": WITH + "select task_id, frame_id, port from fr, (values (1, 2), (2, 3), (3, 4)) v(port, every) where frame_id % every = 0 or coalesce(eos, false)",
     "route_time_interval": "with recursive " + D.SQL + f""", o as (select task_id, frame_id, epoch_us(ts) as t, row_number() over (partition by task_id order by ts, frame_id) as rn from fr where ts is not null),
 go as (select task_id, frame_id, rn, t as last, true as fire from o where rn = 1
   union all select o.task_id, o.frame_id, o.rn, case when o.t - go.last > {int(SECONDS * 1e6)} then o.t else go.last end, o.t - go.last > {int(SECONDS * 1e6)} from go join o on o.task_id = go.task_id and o.rn = go.rn + 1)

@@ -357,3 +357,38 @@ def test_stream_routing_equals_batch(spark, tmp_path):
     got = models.run_stream(compiled.compile_stream(g, chunked(spark, boxed, tmp_path, ["frame_id"], 5), {r.class_id: r.class_name for r in names.collect()}), "t")
     assert got.count() > 50
     same(batch.join(steady, "task_id").select("task_id", "frame_id", "branches"), got)
+
+
+def test_control_over_http(spark):
+    import copy
+    import urllib.error
+    import urllib.request
+
+    from strandline.plans import control
+
+    spec = copy.deepcopy(models.TRIPWIRE_GRAPH)
+    e = E.PipelineEngine(spark)
+    e.add_graph(spec)
+    server = control.serve(e, 0)
+
+    def ask(method, path, body=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", None if body is None else json.dumps(body).encode(), method=method)
+        try:
+            with urllib.request.urlopen(request, timeout=10) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as x:
+            return x.code, json.loads(x.read())
+
+    assert ask("POST", "/stream/addChannel", {"channel_id": 20, "url": "rtsp://h/x", "source_type": "RTSP", "sample_interval": 3})[1]["Result"] == [{"Status": 1, "TaskID": 0}]
+    assert ask("POST", "/stream/addChannel", {"channel_id": 20})[1]["Code"] == 5008
+    assert ask("POST", "/yolox/SetConfThreshold/5001", {"value": 0.9})[1]["Code"] == 0 and e.graphs[0].elements[5001].configure["threshold_conf"] == 0.9
+    assert ask("POST", "/yolox/SetConfThreshold/5001", {"value": 9})[1]["Code"] == 5008
+    assert ask("POST", "/yolox/SetConfThreshold/7", {"value": 0.9})[1]["Code"] == 1
+    assert ask("PUT", "/display-type-blend", {"display_type": 1})[1]["Code"] == 1 and ask("GET", "/config")[1] == {"Code": 0, "Msg": "success", "Result": []}
+    assert ask("GET", "/nothing")[0] == 404 and ask("POST", "/stream/addChannel", [1])[0] == 400
+    seen = []
+    e.set_sink_handler(0, 5006, 0, lambda fs: seen.append({r.channel_id for r in fs["payloads"].select(F.get_json_object("payload", "$.mFrame.mChannelId").cast("int").alias("channel_id")).collect()}))
+    e.run(0, {"frames": D.frames(spark, SMALL), "detections": D.detections(spark, SMALL)})
+    assert seen and seen[0] <= {20}  # only the started channel's frames come out
+    assert ask("POST", "/stream/stopChannel", {"channel_id": 20})[1]["Code"] == 0
+    server.shutdown()
