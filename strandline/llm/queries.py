@@ -10,6 +10,7 @@ from strandline.sources.tables import spread, table
 
 BOXES_PER_CLASS = 5
 MAX_FRAME_GAP = 30
+FLICKER_PENALTY = 1.25
 RARE_BELOW, COMMON_ABOVE = 5, 0.25
 LEAK_WORDS = 16
 SPAN_CHARS = 200
@@ -35,20 +36,25 @@ def p2_masked(spark: SparkSession, d: str) -> DataFrame:
     return masked[0].unionByName(masked[1])
 
 
-def _track_runs(spark: SparkSession, d: str, min_n: int) -> DataFrame:
+def _track_runs(spark: SparkSession, d: str, **how) -> DataFrame:
     tracked = table(spark, d, "tracked_objects").where("mtrackid <> -1").select("task_id", "mframeid", "det_idx", "mtrackid")
     detected = table(spark, d, "detected_objects").where("mclassify >= 0").select("task_id", "mframeid", "det_idx", "mclassify")
     keyed = runs.class_keys(tracked.join(detected, ["task_id", "mframeid", "det_idx"]), table(spark, d, "class_names"), "mclassify")
-    return runs.collapse_runs(keyed, ("task_id", "mtrackid"), "mframeid", "det_idx", "class_key", MAX_FRAME_GAP, min_n=min_n)
+    return runs.collapse_runs(keyed, ("task_id", "mtrackid"), "mframeid", "det_idx", "class_key", MAX_FRAME_GAP, **how)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _track_runs(spark, d, 2).select("task_id", "mtrackid", F.col("first_at").alias("first_mframeid"), F.col("last_at").alias("last_mframeid"))
+    return _track_runs(spark, d, min_n=2).select("task_id", "mtrackid", F.col("first_at").alias("first_mframeid"), F.col("last_at").alias("last_mframeid"))
 
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     """Every run, single boxes too, with its count and duration in frames."""
-    return _track_runs(spark, d, 1).select("task_id", "mtrackid", F.col("first_at").alias("first_mframeid"), F.col("last_at").alias("last_mframeid"), F.col("n").alias("n_boxes"), F.col("duration").alias("n_frames"))
+    return _track_runs(spark, d).select("task_id", "mtrackid", F.col("first_at").alias("first_mframeid"), F.col("last_at").alias("last_mframeid"), F.col("n").alias("n_boxes"), F.col("duration").alias("n_frames"))
+
+
+def p3_steady(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_runs, but a flicker of one or two boxes of another class doesn't break a run; class_key is the run's own class."""
+    return _track_runs(spark, d, penalty=FLICKER_PENALTY).select("task_id", "mtrackid", F.col("first_at").alias("first_mframeid"), F.col("last_at").alias("last_mframeid"), F.col("n").alias("n_boxes"), F.col("duration").alias("n_frames"), F.col("class").alias("class_key"))
 
 
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +100,7 @@ def p8_amounts(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_amounts(shared_spans.shared_spans(docs, length=SPAN_CHARS), docs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_runs, p4_found, p4_terms, p6_ids, p7_found, p7_near, p8_found, p8_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_runs, p3_steady, p4_found, p4_terms, p6_ids, p7_found, p7_near, p8_found, p8_amounts)}
 
 _FLAT = "lower(trim(regexp_replace(class_name, '[ \\t_-]+', ' ', 'g')))"
 _RUNS = f"""
@@ -106,6 +112,24 @@ st as (select *, case when lag(k) over w = k and mframeid - lag(mframeid) over w
   window w as (partition by task_id, mtrackid order by mframeid, det_idx)),
 rn as (select *, sum(s) over (partition by task_id, mtrackid order by mframeid, det_idx rows unbounded preceding) as r from st)
 """
+# all classes of a piece through all its stretches, without pruning; costs in quarters: 5 a run, 4 a box of another class
+_STEADY = _RUNS.replace("\nwith ", "\nwith recursive ") + """,
+sg as (select task_id, mtrackid, r, k, count(*) as n, min(mframeid) as a, max(mframeid) as b from rn group by task_id, mtrackid, r, k),
+sp as (select *, case when a - lag(b) over w <= 30 then 0 else 1 end as s from sg window w as (partition by task_id, mtrackid order by r)),
+pc as (select *, sum(s) over (partition by task_id, mtrackid order by r rows unbounded preceding) as p from sp),
+cl as (select distinct task_id, mtrackid, p, k as c from pc),
+vt as (
+  select task_id, mtrackid, p, r, c, cast(5 + case when c = k then 0 else 4 * n end as hugeint) as cost, [c] as path from pc join cl using (task_id, mtrackid, p) where s = 1
+  union all
+  select v.task_id, v.mtrackid, v.p, t.r, v.c, cast(case when v.c <> t.k then v.cost + 4 * t.n else least(v.cost, v.lo + 5) end as hugeint),
+    list_append(case when v.c <> t.k or v.cost <= v.lo + 5 then v.path else v.lo_path end, v.c)
+  from (select *, min(cost) over w as lo, first_value(path) over (w order by cost, c) as lo_path from vt window w as (partition by task_id, mtrackid, p)) v
+  join pc t on t.task_id = v.task_id and t.mtrackid = v.mtrackid and t.p = v.p and t.r = v.r + 1),
+op as (select task_id, mtrackid, p, path from vt qualify row_number() over (partition by task_id, mtrackid, p order by r desc, cost, c) = 1),
+lb as (select pc.*, path[row_number() over (partition by task_id, mtrackid, p order by r)] as c from pc join op using (task_id, mtrackid, p)),
+ch as (select *, case when lag(c) over (partition by task_id, mtrackid, p order by r) = c then 0 else 1 end as o from lb),
+fl as (select *, sum(o) over (partition by task_id, mtrackid order by r rows unbounded preceding) as f from ch)
+"""
 _TERMS = """
 with occ as (
   select 'mclassify' as field_name, cast(mclassify as varchar) as term, task_id as r1, mframeid as r2, det_idx as o from detected_objects where mclassify is not null
@@ -124,6 +148,7 @@ select task_id, mclassify, mframeid, det_idx from b
 qualify row_number() over (partition by task_id, mclassify order by s desc, mframeid, det_idx) <= 5""",
     "p3_found": _RUNS + "select task_id, mtrackid, min(mframeid) as first_mframeid, max(mframeid) as last_mframeid from rn group by task_id, mtrackid, r having count(*) >= 2",
     "p3_runs": _RUNS + "select task_id, mtrackid, min(mframeid) as first_mframeid, max(mframeid) as last_mframeid, count(*) as n_boxes, max(mframeid) - min(mframeid) as n_frames from rn group by task_id, mtrackid, r",
+    "p3_steady": _STEADY + "select task_id, mtrackid, min(a) as first_mframeid, max(b) as last_mframeid, cast(sum(n) as bigint) as n_boxes, max(b) - min(a) as n_frames, c as class_key from fl group by task_id, mtrackid, f, c",
     "p4_found": _TERMS + "select field_name, term, mark from m where mark is not null",
     "p4_terms": _TERMS + "select field_name, term, occurrences, records, field_records, mark from m",
 }

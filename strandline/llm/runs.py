@@ -8,7 +8,7 @@ can be cut out with at most 2k more boundaries. Runs are then the maximal stretc
 
 The programme keeps, for each class, the cost of the best segmentation whose last run has it, and drops a class once starting a
 run anew is cheaper (pruning): time is linear in the events for the few classes that stay alive. It steps over stretches of equal
-neighbours, not over events.
+neighbours, not over events. Every stretch passes through it whatever the penalty; under 1/2 the pruning leaves one class alive.
 
 A stretch of more than 2 * penalty equal events (an anchor) has its own class in every optimum, so what lies on its two sides can
 be solved apart. That lets an entity hold any share of the rows: events are cut into blocks of the order column, blocks are
@@ -16,8 +16,9 @@ hashed to tasks, each is solved between its first and its last anchor, and only
 side, to blocks of FAN blocks and at last to the entity. Where a block has no anchor at all its stretches go on as they are.
 
 Defined results: rows with a null entity, order or class take no part; repeated rows count once; events of equal order
-follow the tie column; a single event is a run of one; where several segmentations cost the same, it is one of them; an empty
-table gives no rows. `collapse_runs` solves and writes the blocks when it is called.
+follow the tie column; a single event is a run of one; an empty table gives no rows. Where several segmentations cost the same,
+read from the end: the class that sorts first is taken, and its run goes back as far as it can, whatever the blocks.
+`collapse_runs` solves and writes the blocks when it is called.
 """
 
 from __future__ import annotations
@@ -39,22 +40,24 @@ PART_SCHEMA = "e1 long, e2 long, block long, seq long, first_at long, last_at lo
 
 
 def own_classes(keys: list[int], sizes: list[int], anchors: list[bool], penalty: float) -> list[int]:
-    """The class of the run that each stretch belongs to in an optimal segmentation; an anchor keeps its own."""
-    live: dict[int, float] = {}  # class of the last run -> least cost
+    """The class of the run that each stretch belongs to in the optimal segmentation; an anchor keeps its own."""
+    start, unit = float(penalty).as_integer_ratio()  # costs are whole numbers, so that equal ones are equal
+    live: dict[int, int] = {}  # class of the last run -> least cost
     back: list[dict] = []  # of each stretch: class -> class before, or None: one run from the beginning
-    best, least, foreign = None, 0.0, 0.0  # foreign: all events so far, which a class that comes later has as dissimilarity
+    best, least, foreign = None, 0, 0  # foreign: all events so far, which a class that comes later has as dissimilarity
     for key, n, anchor in zip(keys, sizes, anchors):
-        cost = {c: v + (0 if c == key else n) for c, v in live.items() if c == key or not anchor}
+        n *= unit
+        cost = {c: v if c == key else v + n for c, v in live.items() if c == key or not anchor}
         came: dict = {c: c for c in cost}
-        fresh, before = least + penalty, best
-        if best is None or foreign + penalty < fresh:
-            fresh, before = foreign + penalty, None
+        fresh, before = least + start, best
+        if best is None or foreign + start <= fresh:
+            fresh, before = foreign + start, None
         if key not in cost or fresh < cost[key]:
             cost[key], came[key] = fresh, before
         foreign = np.inf if anchor else foreign + n
-        best = min(cost, key=cost.__getitem__)
-        least = cost[best]
-        live = {c: v for c, v in cost.items() if v <= least + penalty}
+        least = min(cost.values())
+        best = min([c for c, v in cost.items() if v == least])
+        live = {c: v for c, v in cost.items() if v <= least + start}
         back.append(came)
     out, c = [0] * len(keys), best
     for j in range(len(keys) - 1, -1, -1):
@@ -73,8 +76,9 @@ def solve(t: pa.Table, max_gap: int, penalty: float, final: bool) -> pa.RecordBa
     """
     e1, e2, block, seq, first, last = (t.column(i).to_numpy() for i in range(6))
     group = t.column("__group").to_numpy()
-    words = t.column("key").combine_chunks().dictionary_encode()
-    key = words.indices.to_numpy(zero_copy_only=False)
+    words = t.column("key").combine_chunks()
+    names = words.unique().sort()  # classes of equal cost go by name
+    key = pc.index_in(words, names).to_numpy(zero_copy_only=False)
     n, fixed, closed = (t.column(c).to_numpy() for c in ("n", "fixed", "closed"))
     opens = np.ones(len(first), bool)
     opens[1:] = (e1[1:] != e1[:-1]) | (e2[1:] != e2[:-1]) | (group[1:] != group[:-1])
@@ -85,40 +89,40 @@ def solve(t: pa.Table, max_gap: int, penalty: float, final: bool) -> pa.RecordBa
     a = np.flatnonzero(starts)
     b = np.append(a[1:], len(first)) - 1
     size, own = np.add.reduceat(n, a), key[a]
-    anchor = np.logical_or.reduceat(fixed, a) | (size > 2 * penalty)
+    settled = np.logical_or.reduceat(fixed, a)
+    anchor = settled | (size > 2 * penalty)
     # pieces: stretches between forced boundaries; open at a side where the block ends and the next one may go on
     p = np.flatnonzero(cut[a])
     q = np.append(p[1:], len(a)) - 1
     left = opens[a[p]] & ~closed[a[p]] & (not final)
     right = np.append(opens[a[p[1:]]], True) & (not final)
-    plain = np.logical_and.reduceat(anchor, p)
-    of = np.repeat(np.arange(len(p)), q - p + 1)
-    at = np.arange(len(a))
-    lead, tail = at == p[of], at == q[of]
-    whole = plain[of]
-    edge = (lead & left[of]) | (tail & right[of])
-    # in a plain piece every stretch is a run
-    rows = [np.stack([a, b, own, size, np.ones(len(a)), ~(lead & left[of]), ~edge], 1)[whole].astype(np.int64)]
-    for i in np.flatnonzero(~plain).tolist():
-        j, k, ol, orr = int(p[i]), int(q[i]), bool(left[i]), bool(right[i])
-        firm = np.flatnonzero(anchor[j : k + 1]) + j
-        raw = lambda x, shut=False: (a[x], b[x], own[x], size[x], 0, shut, 0)
-        if (ol or orr) and not len(firm):
-            rows.append(np.array([raw(x, x == j and not ol) for x in range(j, k + 1)], np.int64))
-            continue
-        lo, hi = (int(firm[0]) if ol else j), (int(firm[-1]) if orr else k)
-        label = own_classes(own[lo : hi + 1].tolist(), size[lo : hi + 1].tolist(), anchor[lo : hi + 1].tolist(), penalty)
+    rows: list[tuple] = []  # first and last part, class, events, fixed, closed, done
+    A, B, own, size, settled, anchor = (x.tolist() for x in (a, b, own, size, settled, anchor))
+    raw = lambda x, shut=False: (A[x], B[x], own[x], size[x], 0, shut, 0)
+    for j, k, ol, orr in zip(p.tolist(), q.tolist(), left.tolist(), right.tolist()):
+        lo, hi = j, k
+        if ol or orr:
+            first_firm = next((x for x in range(j, k + 1) if anchor[x]), None)
+            if first_firm is None:
+                rows += [raw(x, x == j and not ol) for x in range(j, k + 1)]
+                continue
+            if ol:
+                lo = first_firm
+                settled[lo] = True
+            if orr:
+                hi = next(x for x in range(k, j - 1, -1) if anchor[x])
+                settled[hi] = True
+        label = own_classes(own[lo : hi + 1], size[lo : hi + 1], settled[lo : hi + 1], penalty)
         begin = [x for x in range(len(label)) if not x or label[x] != label[x - 1]]
-        runs = list(zip(begin, [*begin[1:], len(label)]))
-        out = [raw(x) for x in range(j, lo)]
-        for r, (x, y) in enumerate(runs):
-            held = (r == 0 and ol) or (r == len(runs) - 1 and orr)
-            out.append((a[lo + x], b[lo + y - 1], label[x], size[lo + x : lo + y].sum(), 1, r > 0 or not ol, not held))
-        rows.append(np.array(out + [raw(x) for x in range(hi + 1, k + 1)], np.int64))
-    r = np.concatenate(rows)
-    names = pa.DictionaryArray.from_arrays(pa.array(r[:, 2], pa.int32()), words.dictionary).cast(pa.string())
+        rows += [raw(x) for x in range(j, lo)]
+        for r, (x, y) in enumerate(zip(begin, [*begin[1:], len(label)])):
+            held = (r == 0 and ol) or (y == len(label) and orr)
+            rows.append((A[lo + x], B[lo + y - 1], label[x], sum(size[lo + x : lo + y]), 1, r > 0 or not ol, not held))
+        rows += [raw(x) for x in range(hi + 1, k + 1)]
+    r = np.array(rows, np.int64)
+    classes = pa.DictionaryArray.from_arrays(pa.array(r[:, 2], pa.int32()), names).cast(pa.string())
     flags = [pa.array(r[:, c].astype(bool)) for c in (4, 5, 6)]
-    return pa.RecordBatch.from_arrays([pa.array(e1[r[:, 0]]), pa.array(e2[r[:, 0]]), pa.array(block[r[:, 0]]), pa.array(seq[r[:, 0]]), pa.array(first[r[:, 0]]), pa.array(last[r[:, 1]]), names, pa.array(r[:, 3]), *flags], FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(e1[r[:, 0]]), pa.array(e2[r[:, 0]]), pa.array(block[r[:, 0]]), pa.array(seq[r[:, 0]]), pa.array(first[r[:, 0]]), pa.array(last[r[:, 1]]), classes, pa.array(r[:, 3]), *flags], FIELDS)
 
 
 def _blocks(max_gap: int, penalty: float, final: bool):

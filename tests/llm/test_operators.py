@@ -186,6 +186,53 @@ def test_flicker_stays_in_its_run():
     assert ends(0.75) == [("a", 9), ("c", 5)]  # the optimum isn't to cut at every change
 
 
+def test_every_stretch_passes_the_programme(monkeypatch):
+    seen, plain = [], runs.own_classes
+    monkeypatch.setattr(runs, "own_classes", lambda keys, sizes, anchors, penalty: seen.append((list(sizes), list(anchors))) or plain(keys, sizes, anchors, penalty))
+    got = in_levels(list(enumerate("aaabbacca")), 0.25, 3, 100, 2)  # under p3_found's penalty too
+    assert [(r["key"], r["n"]) for r in got] == [("a", 3), ("b", 2), ("a", 1), ("c", 2), ("a", 1)]
+    assert seen[0] == ([3, 2, 1, 2, 1], [True, False, False, False, True])  # at the block's open ends alone is the class given
+
+
+def by_all_classes(events, penalty, max_gap):
+    """The one optimum that the tie rule picks: every class through every event, without pruning or blocks. Costs in 64ths."""
+    out, pieces = [], []
+    for e in events:
+        pieces.append([e]) if not pieces or e[0] - pieces[-1][-1][0] > max_gap else pieces[-1].append(e)
+    for piece in pieces:
+        own, new = sorted({c for _, c in piece}), int(penalty * 64)
+        best = {c: (new + 64 * (c != piece[0][1]), [c]) for c in own}
+        for _, k in piece[1:]:
+            low = min(own, key=lambda c: (best[c][0], c))
+            begun = best[low][0] + new, best[low][1] + [k]
+            goes = {c: (best[c][0] + 64 * (c != k), best[c][1] + [c]) for c in own}
+            best = goes | ({k: begun} if begun[0] < goes[k][0] else {})
+        label = best[min(own, key=lambda c: (best[c][0], c))][1]
+        for i, (e, c) in enumerate(zip(piece, label)):
+            if i and label[i - 1] == c:
+                out[-1][1:3] = [e[0], out[-1][2] + 1]
+            else:
+                out.append([e[0], e[0], 1, c])
+    return out
+
+
+@given(st.lists(st.tuples(st.sampled_from([1, 1, 1, 5]), st.sampled_from("caabca")), min_size=1, max_size=24), st.sampled_from([0.25, 0.5, 1.0, 1.25, 1.5, 2.0]), st.sampled_from([1, 2, 3, 100]), st.sampled_from([1, 2, 100]))
+@settings(max_examples=400, deadline=None)
+def test_equal_costs_go_one_way_whatever_the_blocks(steps, penalty, block, fan):
+    events, at = [], 0
+    for gap, c in steps:
+        at += gap
+        events.append((at, c))
+    got = in_levels(events, penalty, 3, block, fan)
+    assert [[r["first_at"], r["last_at"], r["n"], r["key"]] for r in got] == by_all_classes(events, penalty, 3)
+
+
+def test_steady_runs_outlast_flickers(spark):
+    cut, steady = (queries.QUERIES[q](spark, SMALL) for q in ("p3_runs", "p3_steady"))
+    assert steady.count() < 0.8 * cut.count()
+    assert steady.agg(F.sum("n_boxes")).first() == cut.agg(F.sum("n_boxes")).first()
+
+
 def test_segmentation_takes_linear_time():
     import time
 
