@@ -19,6 +19,7 @@ from strandline.functions import action, ctc, decode, ocr, pose
 KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 BOX = [("class_id", "int"), ("score", "double"), ("x", "int"), ("y", "int"), ("w", "int"), ("h", "int")]
 POINT = [("person", "int"), ("point", "int"), ("px", "double"), ("py", "double"), ("ps", "double")]
+CHILDREN = 1 << 16  #: child rows of a batch that goes back to Spark, or as many more as one row gives
 
 
 def flat(col) -> tuple[np.ndarray, np.ndarray]:
@@ -32,23 +33,30 @@ def table_function(df: DataFrame, keys: list[str], tensors: list[str], fn: Calla
     names = [*keys, "idx", *[n for n, _ in fields]]
     kinds = [pa.int64()] * len(keys) + [pa.int32()] + [KINDS[k] for _, k in fields]
 
+    def batch(ids, rows, count, out):
+        n = np.array(count, np.int64)
+        cols = [np.repeat(k[rows], n) if len(rows) else k[:0] for k in ids] + [np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        cols += [np.concatenate(o) if o else np.zeros(0) for o in out]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) if k == pa.string() else pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(cols, kinds)], names)
+
     def run(batches):
         for b in batches:
             ids = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(keys))]
             data = [flat(b.column(len(keys) + i)) for i in range(len(tensors))]
-            rows, count, out = [], [], [[] for _ in fields]
+            rows, count, out, held = [], [], [[] for _ in fields], 0
             for i in range(b.num_rows):
                 got = fn(*[v[o[i] : o[i + 1]] for v, o in data])
                 if got is None or not len(got[0]):
                     continue
                 rows.append(i)
                 count.append(len(got[0]))
+                held += count[-1]
                 for o, g in zip(out, got):
                     o.append(g)
-            n = np.array(count, np.int64)
-            cols = [np.repeat(k[rows], n) if len(rows) else k[:0] for k in ids] + [np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            cols += [np.concatenate(o) if o else np.zeros(0) for o in out]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) if k == pa.string() else pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(cols, kinds)], names)
+                if held >= CHILDREN:
+                    yield batch(ids, rows, count, out)
+                    rows, count, out, held = [], [], [[] for _ in fields], 0
+            yield batch(ids, rows, count, out)
 
     kept = df.where(" and ".join(f"{t} is not null" for t in [*keys, *tensors]))
     schema = ", ".join([f"{k} long" for k in keys] + ["idx int"] + [f"{n} {k}" for n, k in fields])
@@ -167,11 +175,10 @@ def posec3d(c: dict):
     """A window's poses (frames, joints, x y score) to its clips' volumes: each joint's place of the greatest heat in each clip's frames."""
 
     def run(t):
-        v = action.action_input(t[:, None, :, :2], t[:, None, :, 2], c["src"])[0]  # both halves are the same
-        clips, joints, length, side, _ = v.shape
-        at = v.reshape(clips * joints * length, -1).argmax(1)
-        clip, joint, step = np.meshgrid(np.arange(clips), np.arange(joints), np.arange(length), indexing="ij")
-        return [clip.ravel(), joint.ravel(), step.ravel(), at % side, at // side, v.reshape(len(at), -1).max(1)]
+        at, heat, side = action.clip_heat(t[:, None, :, :2], t[:, None, :, 2], c["src"])
+        clip, joint, step = np.meshgrid(*map(np.arange, at.shape), indexing="ij")
+        at = at.ravel()
+        return [clip.ravel(), joint.ravel(), step.ravel(), at % side, at // side, heat.ravel()]
 
     return _shaped(c["shapes"], run), [("clip", "int"), ("joint", "int"), ("step", "int"), ("hx", "int"), ("hy", "int"), ("heat", "double")]
 
