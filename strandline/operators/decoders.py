@@ -20,6 +20,7 @@ KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string"
 BOX = [("class_id", "int"), ("score", "double"), ("x", "int"), ("y", "int"), ("w", "int"), ("h", "int")]
 POINT = [("person", "int"), ("point", "int"), ("px", "double"), ("py", "double"), ("ps", "double")]
 CHILDREN = 1 << 16  #: child rows of a batch that goes back to Spark, or as many more as one row gives
+BLOCK = 1 << 24  #: bytes of tensors that a kernel over many rows takes at once
 
 
 def flat(col) -> tuple[np.ndarray, np.ndarray]:
@@ -28,8 +29,12 @@ def flat(col) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False), offsets
 
 
-def table_function(df: DataFrame, keys: list[str], tensors: list[str], fn: Callable, fields: list[tuple[str, str]]) -> DataFrame:
-    """keys (as long), idx and `fields` of every child row; fn: a row's tensors -> one array for each field."""
+def child_batches(keys: list[str], tensors: list[str], fn: Callable, fields: list[tuple[str, str]]) -> Callable:
+    """Batches of keys and tensors, none null, to batches of child rows; see `table_function`.
+
+    A kernel may have a `block`: the values and ends of many rows' tensors -> how many children each row has, and an array for
+    each field over all of them. It is given rows of BLOCK bytes at a time, or one row.
+    """
     names = [*keys, "idx", *[n for n, _ in fields]]
     kinds = [pa.int64()] * len(keys) + [pa.int32()] + [KINDS[k] for _, k in fields]
 
@@ -37,30 +42,58 @@ def table_function(df: DataFrame, keys: list[str], tensors: list[str], fn: Calla
         n = np.array(count, np.int64)
         cols = [np.repeat(k[rows], n) if len(rows) else k[:0] for k in ids] + [np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         cols += [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) if k == pa.string() else pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(cols, kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) if k == pa.string() else pa.array(c.astype(k.to_pandas_dtype(), copy=False)) for c, k in zip(cols, kinds)], names)
+
+    def by_row(ids, data, rows):
+        held, taken, count, out = 0, [], [], [[] for _ in fields]
+        for i in range(rows):
+            got = fn(*[v[o[i] : o[i + 1]] for v, o in data])
+            if got is None or not len(got[0]):
+                continue
+            taken.append(i)
+            count.append(len(got[0]))
+            held += count[-1]
+            for o, g in zip(out, got):
+                o.append(g)
+            if held >= CHILDREN:
+                yield batch(ids, taken, count, out)
+                held, taken, count, out = 0, [], [], [[] for _ in fields]
+        yield batch(ids, taken, count, out)
+
+    def by_block(ids, data, rows):
+        for begin, end in pieces(sum(np.diff(o) for _, o in data), BLOCK // 8):
+            count, got = fn.block(*[(v, o[begin : end + 1]) for v, o in data])
+            yield batch(ids, np.arange(begin, end), count, [[g] for g in got])
 
     def run(batches):
         for b in batches:
             ids = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(keys))]
             data = [flat(b.column(len(keys) + i)) for i in range(len(tensors))]
-            rows, count, out, held = [], [], [[] for _ in fields], 0
-            for i in range(b.num_rows):
-                got = fn(*[v[o[i] : o[i + 1]] for v, o in data])
-                if got is None or not len(got[0]):
-                    continue
-                rows.append(i)
-                count.append(len(got[0]))
-                held += count[-1]
-                for o, g in zip(out, got):
-                    o.append(g)
-                if held >= CHILDREN:
-                    yield batch(ids, rows, count, out)
-                    rows, count, out, held = [], [], [[] for _ in fields], 0
-            yield batch(ids, rows, count, out)
+            yield from (by_block if b.num_rows and hasattr(fn, "block") else by_row)(ids, data, b.num_rows)
+
+    return run
+
+
+def pieces(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of rows, each of at most `most` in sum or of one row."""
+    out, begin, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and held + n > most:
+            out.append((begin, i))
+            begin, held = i, 0
+        held += n
+    return [*out, (begin, len(sizes))] if len(sizes) else out
+
+
+def child_schema(keys: list[str], fields: list[tuple[str, str]]) -> str:
+    return ", ".join([f"{k} long" for k in keys] + ["idx int"] + [f"{n} {k}" for n, k in fields])
 
+
+def table_function(df: DataFrame, keys: list[str], tensors: list[str], fn: Callable, fields: list[tuple[str, str]]) -> DataFrame:
+    """keys (as long), idx and `fields` of every child row; fn: a row's tensors -> one array for each field."""
     kept = df.where(" and ".join(f"{t} is not null" for t in [*keys, *tensors]))
-    schema = ", ".join([f"{k} long" for k in keys] + ["idx int"] + [f"{n} {k}" for n, k in fields])
-    return kept.select(*[F.col(k).cast("long").alias(k) for k in keys], *[F.col(t).cast("array<double>") for t in tensors]).mapInArrow(run, schema)
+    kept = kept.select(*[F.col(k).cast("long").alias(k) for k in keys], *[F.col(t).cast("array<double>") for t in tensors])
+    return kept.mapInArrow(child_batches(keys, tensors, fn, fields), child_schema(keys, fields))
 
 
 def _boxes(b: decode.Boxes) -> list[np.ndarray]:
@@ -82,6 +115,20 @@ def _shaped(shapes, fn: Callable) -> Callable:
     return run
 
 
+def _whole(values: np.ndarray, ends: np.ndarray, sizes: np.ndarray, shape: tuple) -> np.ndarray:
+    """The first so many values of each row, one row behind the other, as `shape`."""
+    if (sizes == np.diff(ends)).all():
+        return values[ends[0] : ends[-1]].reshape(shape)
+    return np.concatenate([values[:0], *[values[b : b + n] for b, n in zip(ends, sizes)]]).reshape(shape)
+
+
+def _many_points(people: np.ndarray, points: np.ndarray, scores: np.ndarray) -> list[np.ndarray]:
+    """_points of many rows, which have so many people each."""
+    parts = scores.shape[1]
+    person = np.arange(len(scores)) - np.repeat(np.cumsum(people) - people, people)
+    return [np.repeat(person, parts), np.tile(np.arange(parts), len(scores)), points[..., 0].ravel(), points[..., 1].ravel(), scores.ravel()]
+
+
 def _points(points: np.ndarray, scores: np.ndarray) -> list[np.ndarray]:
     """(people, parts, 2) and (people, parts) as child rows."""
     n, parts = scores.shape
@@ -168,7 +215,20 @@ def fastpose(c: dict):
         kept = pose.pose_nms(np.array([p for p, _ in got]), np.array([s for _, s in got]), crops, c.get("min_area", 0.0), compat=c.get("compat", False))
         return _points(np.array([p for p, _ in kept]), np.array([s for _, s in kept])) if kept else None
 
-    return _shaped(c["shapes"], run), POINT
+    def block(tensor, crop):
+        (values, ends), (boxes, box_ends) = tensor, crop
+        size, box_size, known = np.diff(ends), np.diff(box_ends), int(np.prod(shape[1:]))
+        n = np.where((size % known == 0) & (box_size % 4 == 0), np.minimum(size // known, box_size // 4), 0)
+        maps, crops = _whole(values, ends, n * known, (-1, *shape[1:])), _whole(boxes, box_ends, n * 4, (-1, 4))
+        points, scores = pose.heatmap_points_many(maps, crops)
+        at, points, scores = pose.pose_nms_many(points, scores, crops, np.repeat(np.arange(len(n)), n), c.get("min_area", 0.0))
+        people = np.bincount(at, minlength=len(n))
+        return people * shape[1], _many_points(people, points, scores)
+
+    made, shape = _shaped(c["shapes"], run), c["shapes"][0]
+    if shape[0] == -1 and min(shape[1:]) > 0 and shape[1] < 133 and tuple(c["shapes"][1]) == (-1, 4):
+        made.block = block
+    return made, POINT
 
 
 def posec3d(c: dict):

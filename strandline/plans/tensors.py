@@ -31,22 +31,33 @@ def packed(spark, d, keys: list[str] = FRAME, where: str = "true", rows: DataFra
     return rows.groupBy(*keys).agg(boxes.alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in COLUMNS])
 
 
-def plant(rows: DataFrame, keys: list[str], fn, n: int = 1) -> DataFrame:
-    """keys, t0.. of every row: fn(dict of a frame's box arrays) -> n tensors."""
+def _planted(keys: list[str], fn, n: int):
+    """Batches of packed boxes to batches of tensors, of BLOCK bytes each or of one row."""
     names = [*keys, *[f"t{i}" for i in range(n)]]
 
+    def batch(b, begin, end, out):
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in o])]).astype(np.int32)), pa.array(np.concatenate([*o, np.zeros(0)]))) for o in out]
+        return pa.RecordBatch.from_arrays([*[b.column(i).slice(begin, end - begin).cast(pa.int64()) for i in range(len(keys))], *lists], names)
+
     def run(batches):
         for b in batches:
-            ids = [b.column(i) for i in range(len(keys))]
             data = [M.flat(b.column(len(keys) + i)) for i in range(len(COLUMNS))]
-            out = [[] for _ in range(n)]
+            begin, held, out = 0, 0, [[] for _ in range(n)]
             for i in range(b.num_rows):
                 for o, t in zip(out, fn({c: v[s[i] : s[i + 1]] for c, (v, s) in zip(COLUMNS, data)})):
                     o.append(np.asarray(t, np.float64).ravel())
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in o])]).astype(np.int32)), pa.array(np.concatenate([*o, np.zeros(0)]))) for o in out]
-            yield pa.RecordBatch.from_arrays([*[i.cast(pa.int64()) for i in ids], *lists], names)
+                held += (size := sum(o[-1].nbytes for o in out))
+                if held + size > M.BLOCK:  # another such row would be too much
+                    yield batch(b, begin, i + 1, out)
+                    begin, held, out = i + 1, 0, [[] for _ in range(n)]
+            yield batch(b, begin, b.num_rows, out)
 
-    return rows.select(*keys, *COLUMNS).mapInArrow(run, ", ".join([f"{k} long" for k in keys] + [f"t{i} array<double>" for i in range(n)]))
+    return run
+
+
+def plant(rows: DataFrame, keys: list[str], fn, n: int = 1) -> DataFrame:
+    """keys, t0.. of every row: fn(dict of a frame's box arrays) -> n tensors."""
+    return rows.select(*keys, *COLUMNS).mapInArrow(_planted(keys, fn, n), ", ".join([f"{k} long" for k in keys] + [f"t{i} array<double>" for i in range(n)]))
 
 
 def _decode(tensors: DataFrame, keys: list[str], made, n: int = 1) -> DataFrame:
@@ -54,6 +65,14 @@ def _decode(tensors: DataFrame, keys: list[str], made, n: int = 1) -> DataFrame:
     return M.table_function(tensors, keys, [f"t{i}" for i in range(n)], fn, fields)
 
 
+def _plant_decode(rows: DataFrame, keys: list[str], fn, made, n: int = 1) -> DataFrame:
+    """_decode(plant(..)) in one stage, as a model and what reads its output share a process: maps never cross to Spark and back."""
+    decode_fn, fields = made
+    planted, read = _planted(keys, fn, n), M.child_batches(keys, [f"t{i}" for i in range(n)], decode_fn, fields)
+    kept = rows.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys, *COLUMNS)
+    return kept.mapInArrow(lambda batches: read(planted(batches)), M.child_schema(keys, fields))
+
+
 def _rows(b: dict, shift: float = 0.0) -> np.ndarray:
     """Centre and size in the net, of boxes grown by 2 * shift."""
     return np.stack([(b["x"] + b["w"] / 2 + 2 * shift) / 2, (b["y"] + b["h"] / 2 + 2 * shift) / 2 + PAD, (b["w"] + 2 * shift) / 2, (b["h"] + 2 * shift) / 2], 1)
@@ -259,14 +278,13 @@ def _heat(b: dict):
     """17 joints in a map of 12 x 16 cells for each crop of a frame; crops of 48 x 64 that lie far apart."""
     n = len(b["x"])
     maps = np.zeros((n, 17, 16, 12))
-    j = np.arange(17)
-    for i, k in enumerate(b["class_id"].astype(int)):
-        maps[i, j, 1 + (j * 3 + k) % 14, 1 + (j * 5 + k) % 10] = 0.8
+    j, k = np.arange(17), b["class_id"].astype(int)[:, None]
+    maps[np.arange(n)[:, None], j, 1 + (j * 3 + k) % 14, 1 + (j * 5 + k) % 10] = 0.8
     return [maps, np.stack([b["det_idx"] * 1000, np.zeros(n), np.full(n, 48.0), np.full(n, 64.0)], 1)]
 
 
 def pose_crops(spark, d):
-    out = _decode(plant(packed(spark, d), FRAME, _heat, 2), FRAME, M.fastpose({"shapes": [(-1, 17, 16, 12), (-1, 4)]}), 2)
+    out = _plant_decode(packed(spark, d), FRAME, _heat, M.fastpose({"shapes": [(-1, 17, 16, 12), (-1, 4)]}), 2)
     crop = F.floor(F.col("px") / 1000)  # the crops' origins are a thousand pixels apart
     return out.select(*FRAME, crop.cast("int").alias("crop"), "point", F.round(F.col("px") - crop * 1000, 3).alias("px"), F.round("py", 3).alias("py"), F.round("ps", 3).alias("ps"))
 

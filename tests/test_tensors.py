@@ -3,9 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from strandline.functions import action
+from strandline.functions import action, pose
 from strandline.operators import decoders as M
+from strandline.plans import tensors as T
 
 
 def held(run) -> float:
@@ -29,3 +31,52 @@ def test_clips_hold_each_frame_once():
     window = np.tile([100, 100, 0.9, 420, 100, 0.9, 100, 420, 0.9, 420, 420, 0.9], 24)
     assert len(fn(window)[0]) == action.CLIPS * 4 * action.CLIP
     assert held(lambda: fn(window)) < 40
+
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
+
+
+def packed(frames: int, boxes: int) -> pa.RecordBatch:
+    """A batch as T.packed gives it to Python."""
+    cols = {"det_idx": np.arange(boxes), "x": 7 * np.arange(boxes), "y": 9 * np.arange(boxes), "w": np.full(boxes, 5), "h": np.full(boxes, 6), "score": np.full(boxes, 0.7), "class_id": np.arange(boxes) % 5}
+    return pa.RecordBatch.from_arrays([pa.array(np.full(frames, 3)), pa.array(np.arange(frames)), *[lists([cols[c].astype(float)] * frames) for c in T.COLUMNS]], [*T.FRAME, *T.COLUMNS])
+
+
+def by_rows(made):
+    """The same kernel without its block."""
+    fn, fields = made
+    return (lambda *t: fn(*t)), fields
+
+
+def children(made, batch: pa.RecordBatch, tensors: int) -> list[tuple]:
+    run = M.child_batches(["id"], [f"t{i}" for i in range(tensors)], *made)
+    return [tuple(round(x, 9) for x in r.values()) for b in run([batch]) for r in b.to_pylist()]
+
+
+def same(made, batch: pa.RecordBatch, tensors: int) -> int:
+    assert hasattr(made[0], "block")
+    got = children(made, batch, tensors)
+    assert got == children(by_rows(made), batch, tensors)
+    return len(got)
+
+
+def test_tensors_in_bounded_batches():
+    """Ten thousand frames are one batch of Spark's; their maps are not."""
+    got = [b.nbytes for b in T._planted(T.FRAME, T._heat, 2)([packed(1200, 5)])]
+    assert len(got) > 5 and max(got) < 2 * M.BLOCK
+    made = M.fastpose({"shapes": [(-1, 17, 16, 12), (-1, 4)]})
+    read = M.child_batches(T.FRAME, ["t0", "t1"], *made)
+    count = []
+    assert held(lambda: count.extend(b.num_rows for b in read(T._planted(T.FRAME, T._heat, 2)([packed(1200, 5)])))) < 120 and sum(count) == 1200 * 5 * 17
+
+
+def test_crops_in_blocks_as_by_rows():
+    rng = np.random.default_rng(5)
+    for spread in (1, 20, 400):
+        n = [4, 1, 0, 6, 3, 5, 2, 8]
+        maps = [rng.random((k, 17, 16, 12)).ravel() * (0.2 if i == 3 else 1.0) for i, k in enumerate(n)]
+        crops = [np.stack([rng.random(k) * spread, rng.random(k) * spread, np.full(k, 48.0), np.full(k, 64.0)], 1).ravel() for k in n]
+        maps[1][:] = 0  # nothing found
+        maps[4], crops[5], crops[6] = maps[4][:-1], crops[5][:-4], np.append(crops[6], crops[6][:4])  # not of the size; a crop short; a crop more
+        assert same(M.fastpose({"shapes": [(-1, 17, 16, 12), (-1, 4)]}), pa.RecordBatch.from_arrays([pa.array(range(8)), lists(maps), lists(crops)], ["id", "t0", "t1"]), 2) > 17
