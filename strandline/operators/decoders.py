@@ -204,7 +204,18 @@ def openpose(c: dict):
         k = pose.assemble(t, model, scale=c.get("scale", 1.0))
         return _points(k[..., :2], k[..., 2])
 
-    return _shaped(c["shapes"], run), POINT
+    def block(tensor):
+        values, ends = tensor
+        good = np.diff(ends) == np.prod(shape)
+        people, k = np.zeros(len(good), int), np.zeros((0, model["parts"], 3))
+        if good.any():
+            people[good], k = pose.assemble_many(_whole(values, ends, good * np.prod(shape), (-1, *shape)), model, scale=c.get("scale", 1.0))
+        return people * model["parts"], _many_points(people, k[..., :2], k[..., 2])
+
+    made, (shape,) = _shaped(c["shapes"], run), c["shapes"]
+    if min(shape) > 0:
+        made.block = block
+    return made, POINT
 
 
 def fastpose(c: dict):

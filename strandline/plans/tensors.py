@@ -6,6 +6,8 @@ a logarithm or a power stands between.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -256,21 +258,26 @@ def _spot(part: np.ndarray, frame: int) -> tuple[np.ndarray, np.ndarray]:
     return 2 + (part * 5 + frame) % 12, 2 + (part * 7 + 3) % 12
 
 
+@lru_cache(1)
+def _bodies() -> np.ndarray:
+    """Heat maps of one person for each of 12 kinds of frames: part p at a place of its own, each limb's field along it."""
+    out = np.zeros((12, 78, SIDE, SIDE))
+    for f, maps in enumerate(out):
+        x, y = _spot(np.arange(25), f)
+        maps[np.arange(25), y, x] = 0.9
+        for a, c, mx, my in pose.BODY_25["limbs"]:
+            v = np.array([x[c] - x[a], y[c] - y[a]], float)
+            maps[mx], maps[my] = (v / np.hypot(*v))[:, None, None]
+    return out
+
+
 def _body(b: dict):
-    """Heat maps of one person: part p at a place of its own, each limb's field along it."""
-    f = int(b["x"][0]) % 12
-    maps = np.zeros((78, SIDE, SIDE))
-    x, y = _spot(np.arange(25), f)
-    maps[np.arange(25), y, x] = 0.9
-    for a, c, mx, my in pose.BODY_25["limbs"]:
-        v = np.array([x[c] - x[a], y[c] - y[a]], float)
-        maps[mx], maps[my] = v / np.hypot(*v)
-    return [maps]
+    return [_bodies()[int(b["x"][0]) % 12]]
 
 
 def pose_people(spark, d):
     made = M.openpose({"shapes": [(78, SIDE, SIDE)], "scale": 8.0})
-    out = _decode(plant(packed(spark, d), FRAME, _body), FRAME, made)
+    out = _plant_decode(packed(spark, d), FRAME, _body, made)
     return out.select(*FRAME, "person", "point", F.round("px", 3).alias("px"), F.round("py", 3).alias("py"), F.round("ps", 3).alias("ps"))
 
 

@@ -80,3 +80,19 @@ def test_crops_in_blocks_as_by_rows():
         maps[1][:] = 0  # nothing found
         maps[4], crops[5], crops[6] = maps[4][:-1], crops[5][:-4], np.append(crops[6], crops[6][:4])  # not of the size; a crop short; a crop more
         assert same(M.fastpose({"shapes": [(-1, 17, 16, 12), (-1, 4)]}), pa.RecordBatch.from_arrays([pa.array(range(8)), lists(maps), lists(crops)], ["id", "t0", "t1"]), 2) > 17
+
+
+def test_people_in_blocks_as_by_rows():
+    rng = np.random.default_rng(6)
+    for model, channels in (("BODY_25", 78), ("COCO_18", 57)):
+        made, shape = M.openpose({"model": model, "shapes": [(channels, 16, 16)], "scale": 8.0}), (channels, 16, 16)
+        parts = getattr(pose, model)["parts"]
+        for fields in (lambda: rng.random(shape) + 0.2, lambda: rng.choice([0.5, 1.0, -0.2], (channels, 1, 1)), lambda: rng.random((1, 16, 16)) * 2 - 0.3):
+            maps = [np.zeros(shape) + fields() for _ in range(5)]
+            for m in maps[:4]:
+                m[:parts] = np.where(rng.random((parts, 16, 16)) < 0.01, rng.choice([0.3, 0.9, 0.9], (parts, 16, 16)), 0)  # ties, none and several a part
+            maps[2] = maps[2].ravel()[:-1]  # not of the size
+            assert same(made, pa.RecordBatch.from_arrays([pa.array(range(5)), lists([m.ravel() for m in maps])], ["id", "t0"]), 1) > parts
+    made = M.openpose({"shapes": [(78, 16, 16)], "scale": 8.0})
+    read, count = M.child_batches(T.FRAME, ["t0"], *made), []
+    assert held(lambda: count.extend(b.num_rows for b in read(T._planted(T.FRAME, T._body, 1)([packed(1200, 2)])))) < 120 and sum(count) == 1200 * 25
