@@ -33,12 +33,24 @@ def packed(spark, d, keys: list[str] = FRAME, where: str = "true", rows: DataFra
     return rows.groupBy(*keys).agg(boxes.alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in COLUMNS])
 
 
-def _planted(keys: list[str], fn, n: int):
-    """Batches of packed boxes to batches of tensors, of BLOCK bytes each or of one row."""
+def _planted(keys: list[str], fn, n: int, again: bool = False):
+    """Batches of packed boxes to batches of tensors, of BLOCK bytes each or of one row.
+
+    again: all batches are in the same memory, so each must be done with before the next is asked for.
+    """
     names = [*keys, *[f"t{i}" for i in range(n)]]
+    room = [np.empty(0)] * n
+
+    def joined(k, o):
+        size = sum(map(len, o))
+        if not again or not size:
+            return np.concatenate([*o, np.zeros(0)])
+        if len(room[k]) < size:
+            room[k] = np.empty(size)
+        return np.concatenate(o, out=room[k][:size])
 
     def batch(b, begin, end, out):
-        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in o])]).astype(np.int32)), pa.array(np.concatenate([*o, np.zeros(0)]))) for o in out]
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in o])]).astype(np.int32)), pa.array(joined(k, o))) for k, o in enumerate(out)]
         return pa.RecordBatch.from_arrays([*[b.column(i).slice(begin, end - begin).cast(pa.int64()) for i in range(len(keys))], *lists], names)
 
     def run(batches):
@@ -70,7 +82,7 @@ def _decode(tensors: DataFrame, keys: list[str], made, n: int = 1) -> DataFrame:
 def _plant_decode(rows: DataFrame, keys: list[str], fn, made, n: int = 1) -> DataFrame:
     """_decode(plant(..)) in one stage, as a model and what reads its output share a process: maps never cross to Spark and back."""
     decode_fn, fields = made
-    planted, read = _planted(keys, fn, n), M.child_batches(keys, [f"t{i}" for i in range(n)], decode_fn, fields)
+    planted, read = _planted(keys, fn, n, again=True), M.child_batches(keys, [f"t{i}" for i in range(n)], decode_fn, fields)
     kept = rows.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys, *COLUMNS)
     return kept.mapInArrow(lambda batches: read(planted(batches)), M.child_schema(keys, fields))
 

@@ -63,12 +63,12 @@ def same(made, batch: pa.RecordBatch, tensors: int) -> int:
 
 def test_tensors_in_bounded_batches():
     """Ten thousand frames are one batch of Spark's; their maps are not."""
-    got = [b.nbytes for b in T._planted(T.FRAME, T._heat, 2)([packed(1200, 5)])]
+    got = [b.nbytes for b in T._planted(T.FRAME, T._heat, 2)([packed(2400, 5)])]
     assert len(got) > 5 and max(got) < 2 * M.BLOCK
     made = M.fastpose({"shapes": [(-1, 17, 16, 12), (-1, 4)]})
     read = M.child_batches(T.FRAME, ["t0", "t1"], *made)
     count = []
-    assert held(lambda: count.extend(b.num_rows for b in read(T._planted(T.FRAME, T._heat, 2)([packed(1200, 5)])))) < 120 and sum(count) == 1200 * 5 * 17
+    assert held(lambda: count.extend(b.num_rows for b in read(T._planted(T.FRAME, T._heat, 2)([packed(2400, 5)])))) < 160 and sum(count) == 2400 * 5 * 17
 
 
 def test_crops_in_blocks_as_by_rows():
@@ -95,4 +95,4 @@ def test_people_in_blocks_as_by_rows():
             assert same(made, pa.RecordBatch.from_arrays([pa.array(range(5)), lists([m.ravel() for m in maps])], ["id", "t0"]), 1) > parts
     made = M.openpose({"shapes": [(78, 16, 16)], "scale": 8.0})
     read, count = M.child_batches(T.FRAME, ["t0"], *made), []
-    assert held(lambda: count.extend(b.num_rows for b in read(T._planted(T.FRAME, T._body, 1)([packed(1200, 2)])))) < 120 and sum(count) == 1200 * 25
+    assert held(lambda: count.extend(b.num_rows for b in read(T._planted(T.FRAME, T._body, 1)([packed(2400, 2)])))) < 160 and sum(count) == 2400 * 25
